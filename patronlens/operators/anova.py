@@ -94,20 +94,12 @@ def test_records(results: DataFrame) -> DataFrame:
 test_records.__test__ = False  # not a unit test, whatever its name suggests to a collector
 
 
-def order_value_by_attribute(
-    customers: DataFrame, transactions: DataFrame, dimension: str
-) -> DataFrame:
-    """(dimension, aov) per customer with both a master record and transactions."""
-    return (
-        customers.select("customer_id", dimension)
-        .join(average_order_value(transactions), "customer_id")
-        .dropna()
-    )
+def order_value_tests(customers: DataFrame, dimension: str = "device_type") -> DataFrame:
+    """Test records for rows with ``aov`` and the dimension.
 
-
-def run_tests(customers: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Test records; an empty table when the device dimension does not exist."""
-    dimension = "device_type"
+    The table is empty when the dimension does not exist. Rows lacking either value, such
+    as customers without a master record, take no part.
+    """
     if dimension not in customers.columns:
         nothing = customers.sparkSession.range(0)
         return nothing.select(
@@ -116,5 +108,13 @@ def run_tests(customers: DataFrame, transactions: DataFrame) -> DataFrame:
             F.lit(0.0).alias("pValue"),
             F.lit("").alias("result"),
         )
-    joined = order_value_by_attribute(customers, transactions, dimension)
-    return test_records(one_way_anova(group_moments(joined)))
+    return test_records(one_way_anova(group_moments(customers)))
+
+
+def run_tests(customers: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Test records straight from cleaned tables."""
+    kept = [c for c in ("device_type",) if c in customers.columns]
+    averages = average_order_value(transactions)
+    return order_value_tests(
+        customers.select("customer_id", *kept).join(averages, "customer_id")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from patronlens.operators.quantiles import exact_quantiles
 
 LABEL = "label_churn"
 HASH_DIGITS = 13
+ROWS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -110,8 +112,10 @@ def train_churn(
     if min(seen.values()) < 2:
         raise ValueError("a stratified split needs at least two rows of each label")
 
+    # Every iteration of the fit is a job, so small data should not be cut into many tasks.
+    tasks = math.ceil(sum(seen.values()) / ROWS_PER_TASK)
     rows = _with_vector(with_split(labelled), present).select("_x", LABEL, "is_test")
-    rows = rows.persist()
+    rows = rows.coalesce(tasks).persist()
     try:
         train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
         # The penalty of one unit on the summed loss, expressed for the mean loss.

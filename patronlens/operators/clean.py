@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,20 +31,28 @@ def _coerced(
     return df.withColumns(new)
 
 
+def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without nulls; one plain test per column, since only those reach the scan."""
+    return df.filter(reduce(and_, [F.col(c).isNotNull() for c in columns]))
+
+
 def clean_customers(customers: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
-    typed = _coerced(customers, ["account_creation_date"], CUSTOMER_NUMBERS, date_formats)
-    return typed.dropna(subset=["customer_id"])
+    given = _present(customers, ["customer_id"])
+    typed = _coerced(given, ["account_creation_date"], CUSTOMER_NUMBERS, date_formats)
+    return _present(typed, ["customer_id"])
 
 
 def clean_transactions(
     transactions: DataFrame, date_formats: Sequence[str] = ()
 ) -> DataFrame:
-    """Typed transactions without rows that lack an id, a valid date or a valid amount."""
-    # The raw null test is implied by the final one; it is spelled out because, unlike a
-    # test on a computed column, it can be pushed down to the scan.
-    present = transactions.dropna(subset=TRANSACTION_REQUIRED)
-    typed = _coerced(present, ["order_datetime"], TRANSACTION_NUMBERS, date_formats)
-    kept = typed.dropna(subset=TRANSACTION_REQUIRED)
+    """Typed transactions without rows that lack an id, a valid date or a valid amount.
+
+    The test on the raw columns is implied by the one on the typed columns; it is made
+    separately because tests on computed columns are not pushed down.
+    """
+    given = _present(transactions, TRANSACTION_REQUIRED)
+    typed = _coerced(given, ["order_datetime"], TRANSACTION_NUMBERS, date_formats)
+    kept = _present(typed, TRANSACTION_REQUIRED)
     if "coupon_applied" in kept.columns:
         kept = kept.withColumn("coupon_applied", parse_flag(F.col("coupon_applied")))
     return kept

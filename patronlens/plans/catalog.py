@@ -280,6 +280,13 @@ def test_result(spark, folder):
     return rounded(analysis(spark, folder, "orders").tests, {"pValue": FINE})
 
 
+@query
+def test_result_tables(spark, folder):
+    """The same record straight from the cleaned tables, without the feature table."""
+    bundle = clean.clean_bundle(star.orders_bundle(spark, folder))
+    return rounded(anova.run_tests(bundle.customers, bundle.transactions), {"pValue": FINE})
+
+
 # Churn ------------------------------------------------------------------------------------
 
 
@@ -463,8 +470,8 @@ def kpi_display(spark, folder):
 
 @query
 def kpi_display_changes(spark, folder):
-    current, changes = _changes(spark, folder, "events", 7)
-    return display.kpi_display(current, changes)
+    run = _compared(spark, folder, "events", 7)
+    return display.kpi_display(run.kpis, run.kpi_changes)
 
 
 @query
@@ -539,7 +546,7 @@ def inventory_turnover(spark, folder):
 @query
 def weekly_forecast(spark, folder):
     found = sales.weekly_forecast(star.line_sales(spark, folder))
-    return rounded(found, {"actual": MEAN, "forecast": MEAN})
+    return rounded(found, {"actual": MONEY, "forecast": MONEY})
 
 
 @query
@@ -659,10 +666,8 @@ def churn_alerts_events(spark, folder):
     return _alerts(spark, folder, "events")
 
 
-def _changes(spark, folder, mapping, days):
-    current = analysis(spark, folder, mapping, days=days, scorer="rule").kpis
-    previous = analysis(spark, folder, mapping, days=days, back=days, scorer="rule").kpis
-    return current, kpis.kpi_changes(current, previous)
+def _compared(spark, folder, mapping, days):
+    return analysis(spark, folder, mapping, days=days, scorer="rule", compare=True)
 
 
 CHANGE_DIGITS = {"value": MEAN, "previous": MEAN, "deltaPct": FINE}
@@ -670,12 +675,12 @@ CHANGE_DIGITS = {"value": MEAN, "previous": MEAN, "deltaPct": FINE}
 
 @query
 def kpi_changes(spark, folder):
-    return rounded(_changes(spark, folder, "orders", 30)[1], CHANGE_DIGITS)
+    return rounded(_compared(spark, folder, "orders", 30).kpi_changes, CHANGE_DIGITS)
 
 
 @query
 def kpi_changes_events(spark, folder):
-    return rounded(_changes(spark, folder, "events", 7)[1], CHANGE_DIGITS)
+    return rounded(_compared(spark, folder, "events", 7).kpi_changes, CHANGE_DIGITS)
 
 
 @query

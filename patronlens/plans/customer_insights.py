@@ -1,28 +1,85 @@
-"""The whole customer analysis, from cleaned tables to the response."""
+"""The whole customer analysis, from input tables to the response."""
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from patronlens import fixed_values as fixed
 from patronlens.operators import answers, churn, insights, kpis
-from patronlens.operators.anchor import reporting_window
-from patronlens.operators.anova import run_tests
+from patronlens.operators.anchor import Window, reporting_window
+from patronlens.operators.anova import order_value_tests
 from patronlens.operators.clean import clean_bundle
-from patronlens.operators.rfm import rfm_features, with_attributes
+from patronlens.operators.rfm import FEATURES, customer_activity, with_attributes
 from patronlens.operators.segments import with_segments
 from patronlens.sources.bundle import TableBundle
 
+PREVIOUS = "_previous"
 
-class CustomerInsights:
-    """One analysis of one set of tables; each part is a DataFrame built on first use.
 
-    The customer-grain table feeds several passes (thresholds, model, figures, lists), so
-    it is persisted, spilling to disk. ``release`` drops it; so does leaving a ``with``
-    block. A new analysis of changed files must follow the release of the old one.
+class PeriodAnalysis:
+    """Everything that depends on one anchor; each part is built on first use."""
+
+    def __init__(
+        self,
+        table: DataFrame,
+        window: Window,
+        suffix: str,
+        scorer: str,
+        model_features: tuple[str, ...],
+    ):
+        self._table = table
+        self._suffix = suffix
+        self.window = window
+        self.scorer = scorer
+        self.model_features = model_features
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """Features and attributes of the customers with an order up to the anchor."""
+        figures = [F.col(name + self._suffix).alias(name) for name in FEATURES]
+        kept = [c for c in fixed.CUSTOMER_ATTRIBUTES if c in self._table.columns]
+        return self._table.filter(F.col("frequency" + self._suffix) > 0).select(
+            "customer_id", *figures, *kept
+        )
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return with_segments(self.base, self.window)
+
+    @cached_property
+    def model(self) -> churn.ChurnModel:
+        """Training runs Spark jobs when first asked for; the rule needs none."""
+        if self.scorer == "rule":
+            return churn.rule_model(self.base, self.model_features)
+        return churn.train_churn(self.base, self.model_features)
+
+    @cached_property
+    def scored_base(self) -> DataFrame:
+        """Scores without segments, for figures that do not need the thresholds."""
+        return churn.score_churn(self.base, self.model)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return churn.score_churn(self.features, self.model)
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        start = self.window.start
+        active = self.scored_base.withColumn("isActiveInWindow", F.col("last_order") >= start)
+        return kpis.kpis(active)
+
+
+class CustomerInsights(PeriodAnalysis):
+    """One analysis of one set of tables.
+
+    The transactions are read once for the anchor (not at all if it is given) and once for
+    everything else. The resulting customer-grain table feeds several passes (thresholds,
+    model, figures, lists), so it is persisted, spilling to disk. ``release`` drops it; so
+    does leaving a ``with`` block. An analysis of changed files must follow the release of
+    the old one.
     """
 
     def __init__(
@@ -30,18 +87,29 @@ class CustomerInsights:
         bundle: TableBundle,
         days: int = fixed.DEFAULT_DAYS,
         anchor: date | str | None = None,
-        back: int = 0,
         scorer: str = "auto",
         model_features: tuple[str, ...] = tuple(fixed.CHURN_FEATURES),
+        compare: bool = False,
     ):
         if scorer not in ("auto", "rule"):
             raise ValueError("scorer must be 'auto' or 'rule'")
         self.bundle = clean_bundle(bundle)
         self.days = days
-        self.scorer = scorer
-        self.model_features = model_features
-        self.window = reporting_window(self.bundle.transactions, days, anchor, back)
         self._persisted: list[DataFrame] = []
+        window = reporting_window(self.bundle.transactions, days, anchor)
+        windows, suffixes = [window], [""]
+        if compare:
+            windows.append(Window(window.anchor - timedelta(days=days), days))
+            suffixes.append(PREVIOUS)
+        activity = customer_activity(self.bundle.transactions, windows, suffixes)
+        table = self._keep(with_attributes(activity, self.bundle.customers))
+        super().__init__(table, window, "", scorer, model_features)
+        if compare:
+            self.previous = PeriodAnalysis(table, windows[1], PREVIOUS, scorer, model_features)
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._persisted.append(df.persist())
+        return df
 
     def __enter__(self) -> CustomerInsights:
         return self
@@ -53,36 +121,10 @@ class CustomerInsights:
         while self._persisted:
             self._persisted.pop().unpersist()
 
-    @cached_property
-    def base(self) -> DataFrame:
-        """Features and attributes per customer, before segments."""
-        rfm = rfm_features(self.bundle.transactions, self.window)
-        base = with_attributes(rfm, self.bundle.customers).persist()
-        self._persisted.append(base)
-        return base
-
-    @cached_property
-    def features(self) -> DataFrame:
-        return with_segments(self.base, self.window)
-
     @cached_property
     def tests(self) -> DataFrame:
-        return run_tests(self.bundle.customers, self.bundle.transactions)
-
-    @cached_property
-    def model(self) -> churn.ChurnModel:
-        """Training runs Spark jobs when first asked for; the rule needs none."""
-        if self.scorer == "rule":
-            return churn.rule_model(self.base, self.model_features)
-        return churn.train_churn(self.base, self.model_features)
-
-    @cached_property
-    def scored(self) -> DataFrame:
-        return churn.score_churn(self.features, self.model)
-
-    @cached_property
-    def kpis(self) -> DataFrame:
-        return kpis.kpis(self.scored)
+        """Few rows that several parts read, so they are computed only once."""
+        return self._keep(order_value_tests(self._table))
 
     @cached_property
     def segment_counts(self) -> DataFrame:
@@ -98,7 +140,7 @@ class CustomerInsights:
 
     @cached_property
     def insights(self) -> DataFrame:
-        return insights.insights(self.features, self.tests)
+        return self._keep(insights.insights(self.features, self.tests))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -108,6 +150,11 @@ class CustomerInsights:
     def model_record(self) -> DataFrame:
         return insights.model_record(self.base.sparkSession, self.model)
 
+    @cached_property
+    def kpi_changes(self) -> DataFrame:
+        """KPIs against the period before; needs ``compare=True``."""
+        return kpis.kpi_changes(self.kpis, self.previous.kpis)
+
     def answer(
         self, messages: DataFrame, text: str = "message", days: str | None = None
     ) -> DataFrame:

@@ -379,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
     sql["anova_f"] = f"{anova_ctes(DEVICE_TEST)} {f_and_p}"
     two = {"order value by device": "device_type", "order value by location": "location"}
     sql["anova_many"] = f"{anova_ctes(two)} {f_and_p}"
-    sql["test_result"] = f"""{anova_ctes(DEVICE_TEST)}
+    sql["test_result"] = sql["test_result_tables"] = f"""{anova_ctes(DEVICE_TEST)}
       SELECT test AS name, 'ANOVA' AS method, round(p, 6) AS "pValue",
         CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END AS result FROM t"""
 
@@ -472,7 +472,7 @@ def oracle_sql() -> dict[str, str]:
               GROUP BY i),
       fc AS (SELECT week, actual, avg(actual) OVER (
                ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS forecast FROM ext)
-      SELECT week, round(actual, 4) AS actual, round(forecast, 4) AS forecast
+      SELECT week, round(actual, 2) AS actual, round(forecast, 2) AS forecast
       FROM fc ORDER BY week DESC LIMIT 6"""
     sql["revenue_forecast"] = f"""WITH {INVENTORY},
       d AS (SELECT CAST(sold_at AS DATE) AS day, sum(revenue) AS revenue FROM sold GROUP BY 1),

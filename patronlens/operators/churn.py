@@ -60,7 +60,7 @@ def feature_matrix(features: DataFrame, names: Sequence[str] = CHURN_FEATURES) -
 
 def _key_hash() -> Column:
     """A number derived from the customer id that acts as a reproducible random draw."""
-    digits = F.substring(F.md5(F.col("customer_id").cast("binary")), 1, HASH_DIGITS)
+    digits = F.substring(F.md5(F.col("customer_id").cast("string").cast("binary")), 1, HASH_DIGITS)
     return F.conv(digits, 16, 10).cast("double")
 
 

@@ -24,10 +24,6 @@ def _coerced(
     types = {f.name: f.dataType for f in df.schema}
     new = {c: parse_timestamp(F.col(c), types[c], formats) for c in dates}
     new |= {c: parse_number(F.col(c), types[c]) for c in numbers if c in types}
-    # Join keys are text on both sides: mixed key types would be coerced silently.
-    new |= {
-        c: F.col(c).cast("string") for c in ("customer_id", "order_id") if c in types
-    }
     return df.withColumns(new)
 
 
@@ -59,9 +55,15 @@ def clean_transactions(
 
 
 def clean_bundle(bundle: TableBundle, date_formats: Sequence[str] = ()) -> TableBundle:
-    """Clean customers and transactions; the other tables pass through unchanged."""
-    return replace(
-        bundle,
-        customers=clean_customers(bundle.customers, date_formats),
-        transactions=clean_transactions(bundle.transactions, date_formats),
-    )
+    """Clean customers and transactions; the other tables pass through unchanged.
+
+    Customer ids keep their type, since numbers are smaller to shuffle than text. If the two
+    tables disagree, both become text: a mixed join would coerce values silently.
+    """
+    customers = clean_customers(bundle.customers, date_formats)
+    transactions = clean_transactions(bundle.transactions, date_formats)
+    key = "customer_id"
+    if customers.schema[key].dataType != transactions.schema[key].dataType:
+        customers = customers.withColumn(key, F.col(key).cast("string"))
+        transactions = transactions.withColumn(key, F.col(key).cast("string"))
+    return replace(bundle, customers=customers, transactions=transactions)

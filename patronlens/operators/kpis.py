@@ -42,19 +42,20 @@ def clv_trend(features: DataFrame, months: int = TREND_MONTHS) -> DataFrame:
 
 def top_customers(scored: DataFrame, k: int = TOP_CUSTOMERS) -> DataFrame:
     """The k customers with the highest lifetime value; equal values rank by id."""
+    key = F.col("customer_id")
     name = F.col("name") if "name" in scored.columns else F.lit(None).cast("string")
     return (
-        scored.select(
-            F.col("customer_id").alias("id"),
-            F.coalesce(name, F.col("customer_id")).alias("name"),
+        scored.orderBy(F.desc("monetary"), key)
+        .limit(k)
+        .select(
+            key.cast("string").alias("id"),
+            F.coalesce(name, key.cast("string")).alias("name"),
             "segment",
             F.col("recencyDays").cast("bigint").alias("recencyDays"),
             F.col("frequency").cast("bigint").alias("frequency"),
             "monetary",
             "churnRisk",
         )
-        .orderBy(F.desc("monetary"), "id")
-        .limit(k)
     )
 
 

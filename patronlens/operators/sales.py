@@ -21,26 +21,31 @@ def _moment(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def weekly_forecast(sales: DataFrame) -> DataFrame:
-    """Six weeks: four with actual revenue and two ahead; forecast = mean of the 4 before.
+def weekly_forecast(sales: DataFrame, anchor: datetime) -> DataFrame:
+    """Six weeks around the anchor week: four with actual revenue and two ahead.
 
-    The window without partitions runs over one row per calendar week, not over sales.
+    The forecast is the mean of the known actuals of the four weeks before. Only the weeks
+    that matter are read, and the window without partitions runs over ten weekly rows.
     """
-    weekly = sales.groupBy(week_start(F.col("sold_at")).alias("week")).agg(
+    monday = anchor - timedelta(days=anchor.weekday())
+    known = SHOWN_WEEKS - FUTURE_WEEKS
+    first = monday - timedelta(weeks=known + FORECAST_BASE_WEEKS - 1)
+    sold = F.col("sold_at")
+    read = (sold >= _moment(first)) & (sold < _moment(monday + timedelta(weeks=1)))
+    weekly = sales.filter(read).groupBy(week_start(sold).alias("week")).agg(
         F.sum("revenue").alias("actual")
     )
-    ahead = weekly.agg(F.max("week").alias("last")).select(
-        F.explode(
-            F.array([F.date_add("last", 7 * i) for i in range(1, FUTURE_WEEKS + 1)])
-        ).alias("week"),
-        F.lit(None).cast("double").alias("actual"),
+    position = F.col("id").cast("int")
+    calendar = sales.sparkSession.range(FORECAST_BASE_WEEKS + SHOWN_WEEKS).select(
+        position.alias("position"),
+        F.date_add(F.lit(first.date()), position * 7).alias("week"),
     )
-    before = W.orderBy("week").rowsBetween(-FORECAST_BASE_WEEKS, -1)
+    before = W.orderBy("position").rowsBetween(-FORECAST_BASE_WEEKS, -1)
     return (
-        weekly.unionByName(ahead)
+        calendar.join(weekly, "week", "left")
         .withColumn("forecast", F.avg("actual").over(before))
-        .orderBy(F.desc("week"))
-        .limit(SHOWN_WEEKS)
+        .filter(F.col("position") >= FORECAST_BASE_WEEKS)
+        .select("week", "actual", "forecast")
     )
 
 

@@ -223,7 +223,7 @@ def active_flag(spark, folder):
     orders = clean_orders(spark, folder)
     active = rfm.active_customers(orders, anchor.reporting_window(orders))
     customers = star.table(spark, folder, "customer").select(
-        F.col("c_custkey").cast("string").alias("customer_id")
+        F.col("c_custkey").alias("customer_id")
     )
     return flag_members(customers, active, "customer_id", "isActiveInWindow")
 
@@ -545,7 +545,8 @@ def inventory_turnover(spark, folder):
 
 @query
 def weekly_forecast(spark, folder):
-    found = sales.weekly_forecast(star.line_sales(spark, folder))
+    sold, latest = _sales(spark, folder)
+    found = sales.weekly_forecast(sold, latest)
     return rounded(found, {"actual": MONEY, "forecast": MONEY})
 
 
@@ -696,21 +697,26 @@ def retention_by_segment(spark, folder):
 def streaming_refresh(spark, folder):
     """Orders streamed into the stored state, and the features rebuilt from it."""
     schema = star.table(spark, folder, "orders").schema
-    arriving = refresh.transaction_stream(
-        spark, folder, schema, pathGlobFilter="orders.parquet"
-    ).select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
-        F.col("o_orderdate").alias("order_datetime"),
-        F.col("o_totalprice").alias("total_amount"),
+    arriving = star.as_transactions(
+        refresh.transaction_stream(spark, folder, schema, pathGlobFilter="orders.parquet")
     )
     state = sinks.shared_folder(spark)
     refresh.refresh_state(arriving, state)
+    refresh.compact_state(spark, state)
     rows = refresh.stored_rows(spark, state)
     found = rfm.rfm_features(rows, anchor.reporting_window(rows))
     return rounded(found, FEATURE_DIGITS)
 
 
+@query
+def stored_result(spark, folder):
+    """Segment sizes stored under (days, anchor) and read back."""
+    run = analysis(spark, folder, "orders")
+    path = sinks.shared_folder(spark)
+    sinks.write_result(run.segment_counts, path, run.days, run.window.anchor.date().isoformat())
+    return spark.read.parquet(path)
+
+
 @query
 def csv_report(spark, folder):
     """Segments and trend written as CSV and read back."""

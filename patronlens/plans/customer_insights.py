@@ -226,3 +226,26 @@ class CustomerInsights(PeriodAnalysis):
         return one.select(
             F.to_json(document, {"ignoreNullFields": "false"}).alias("response")
         )
+
+
+class InsightsMemo:
+    """Remembers analyses by (days, anchor day), checked after loading and cleaning.
+
+    As long as the anchor day stays the same, changed data is not noticed; call ``clear``
+    after loading new data.
+    """
+
+    def __init__(self) -> None:
+        self._runs: dict[tuple[int, date], CustomerInsights] = {}
+
+    def get(self, bundle: TableBundle, days: int = fixed.DEFAULT_DAYS) -> CustomerInsights:
+        transactions = clean_bundle(bundle).transactions
+        anchor = reporting_window(transactions, days).anchor.date()
+        if (days, anchor) not in self._runs:
+            self._runs[days, anchor] = CustomerInsights(bundle, days, anchor)
+        return self._runs[days, anchor]
+
+    def clear(self) -> None:
+        for run in self._runs.values():
+            run.release()
+        self._runs.clear()

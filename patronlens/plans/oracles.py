@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 ORDERS_TX = """
-    SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
-           o_orderdate AS order_datetime, o_totalprice AS total_amount
+    SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS order_datetime,
+           o_totalprice AS total_amount
     FROM orders
     WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_orderdate IS NOT NULL
       AND o_totalprice IS NOT NULL"""
 
 EVENTS_TX = """
-    SELECT CAST(event_id AS VARCHAR) AS order_id, CAST(user_id AS VARCHAR) AS customer_id,
-           ts AS order_datetime, value AS total_amount
+    SELECT event_id AS order_id, user_id AS customer_id, ts AS order_datetime, value AS total_amount
     FROM events
     WHERE event_type = 'purchase' AND event_id IS NOT NULL AND user_id IS NOT NULL
       AND ts IS NOT NULL AND value IS NOT NULL"""
 
 ORDERS_CUSTOMERS = """
-    SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name,
+    SELECT c_custkey AS customer_id, c_name AS name,
            c_mktsegment AS device_type, b.avg_session_time_min, b.wishlist_items_count,
            n_name AS location
     FROM customer
@@ -30,7 +29,7 @@ ORDERS_CUSTOMERS = """
     ) b ON c_custkey = b.user_id"""
 
 EVENTS_CUSTOMERS = """
-    SELECT DISTINCT CAST(user_id AS VARCHAR) AS customer_id, CAST(NULL AS VARCHAR) AS name
+    SELECT DISTINCT user_id AS customer_id, CAST(NULL AS VARCHAR) AS name
     FROM events"""
 
 MAPPINGS = {"orders": (ORDERS_TX, ORDERS_CUSTOMERS), "events": (EVENTS_TX, EVENTS_CUSTOMERS)}
@@ -108,7 +107,8 @@ TREND = """SELECT month, round(value, 4) AS value FROM (
     SELECT strftime(last_order, '%Y-%m') AS month, avg(monetary) AS value
     FROM base GROUP BY 1 ORDER BY 1 DESC LIMIT 6)"""
 
-TOP = """SELECT customer_id AS id, coalesce(name, customer_id) AS name, segment,
+TOP = """SELECT CAST(customer_id AS VARCHAR) AS id,
+        coalesce(name, CAST(customer_id AS VARCHAR)) AS name, segment,
   CAST("recencyDays" AS BIGINT) AS "recencyDays", frequency, round(monetary, 2) AS monetary,
   round("churnRisk", 6) AS "churnRisk" FROM feats ORDER BY feats.monetary DESC, customer_id LIMIT 12"""
 
@@ -365,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT DISTINCT customer_id FROM tx, a WHERE order_datetime BETWEEN s AND e", days=90
     )
     sql["active_flag"] = on_features("""
-      SELECT CAST(c_custkey AS VARCHAR) AS customer_id, CAST(c_custkey AS VARCHAR) IN (
+      SELECT c_custkey AS customer_id, c_custkey IN (
         SELECT customer_id FROM tx, a WHERE order_datetime BETWEEN s AND e)
         AS "isActiveInWindow" FROM customer""")
 
@@ -394,7 +394,7 @@ def oracle_sql() -> dict[str, str]:
     sql["split_assignment"] = on_features("""SELECT customer_id, label_churn,
       row_number() OVER (PARTITION BY label_churn ORDER BY draw)
         <= ceil(count(*) OVER (PARTITION BY label_churn) / 4.0) AS is_test
-      FROM (SELECT customer_id, ('0x' || substr(md5(customer_id), 1, 13))::BIGINT AS draw,
+      FROM (SELECT customer_id, ('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 13))::BIGINT AS draw,
         CASE WHEN "recencyDays" >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label_churn
         FROM base)""")
     sql["model_record_events"] = """SELECT 'rule_only' AS type,
@@ -426,7 +426,8 @@ def oracle_sql() -> dict[str, str]:
           AS delta_text, label
       FROM cards LEFT JOIN ch ON cards.kpi = ch.kpi"""
     sql["top_customers_display"] = on_features("""
-      SELECT customer_id AS id, coalesce(name, customer_id) AS name, segment,
+      SELECT CAST(customer_id AS VARCHAR) AS id,
+        coalesce(name, CAST(customer_id AS VARCHAR)) AS name, segment,
         "recencyDays" || ' days' AS recency, frequency,
         '$' || format('{:,}', CAST(floor(monetary + 0.5) AS BIGINT)) AS monetary,
         round("churnRisk", 6) AS churn,
@@ -467,13 +468,13 @@ def oracle_sql() -> dict[str, str]:
     sql["weekly_forecast"] = f"""WITH {INVENTORY},
       w AS (SELECT CAST(date_trunc('week', sold_at) AS DATE) AS week, sum(revenue) AS actual
             FROM sold GROUP BY 1),
-      ext AS (SELECT * FROM w UNION ALL
-              SELECT CAST(max(week) + 7 * i AS DATE), NULL FROM w, (VALUES (1), (2)) f(i)
-              GROUP BY i),
-      fc AS (SELECT week, actual, avg(actual) OVER (
-               ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS forecast FROM ext)
+      cal AS (SELECT CAST(date_trunc('week', e) AS DATE) + 7 * CAST(i AS INTEGER) AS week, i
+              FROM la, generate_series(-7, 2) s(i)),
+      fc AS (SELECT cal.week, i, actual, avg(actual) OVER (
+               ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS forecast
+             FROM cal LEFT JOIN w ON cal.week = w.week)
       SELECT week, round(actual, 2) AS actual, round(forecast, 2) AS forecast
-      FROM fc ORDER BY week DESC LIMIT 6"""
+      FROM fc WHERE i > -4"""
     sql["revenue_forecast"] = f"""WITH {INVENTORY},
       d AS (SELECT CAST(sold_at AS DATE) AS day, sum(revenue) AS revenue FROM sold GROUP BY 1),
       r AS (SELECT max(day) AS last_day,
@@ -544,6 +545,8 @@ def oracle_sql() -> dict[str, str]:
     sql["retention_by_segment"] = on_features("""SELECT segment, count(*) AS customers,
       round(avg(CASE WHEN frequency >= 2 THEN 1.0 ELSE 0.0 END), 6) AS "retentionRate"
       FROM feats GROUP BY 1""")
+    sql["stored_result"] = f"""WITH {feature_ctes("orders")}
+      SELECT *, 30 AS days, (SELECT CAST(e AS DATE) FROM a) AS anchor FROM ({SEGMENT_COUNTS})"""
     sql["csv_report"] = f"""WITH {feature_ctes("orders")}
       SELECT 'segments' AS section, name, CAST(value AS DOUBLE) AS value
       FROM ({SEGMENT_COUNTS}) UNION ALL SELECT 'clvTrend', month, value FROM ({TREND})"""

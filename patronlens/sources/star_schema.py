@@ -16,15 +16,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def order_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("o_custkey").cast("string").alias("customer_id"),
+def as_transactions(orders: DataFrame) -> DataFrame:
+    return orders.select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_custkey").alias("customer_id"),
         F.col("o_orderdate").alias("order_datetime"),
         F.col("o_totalprice").alias("total_amount"),
     )
 
 
+def order_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return as_transactions(table(spark, folder, "orders"))
+
+
 def order_customers(spark: SparkSession, folder: str) -> DataFrame:
     behaviour = (
         table(spark, folder, "events")
@@ -45,7 +49,7 @@ def order_customers(spark: SparkSession, folder: str) -> DataFrame:
         customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
         .join(behaviour, customer.c_custkey == behaviour.user_id, "left")
         .select(
-            F.col("c_custkey").cast("string").alias("customer_id"),
+            F.col("c_custkey").alias("customer_id"),
             F.lit(None).cast("timestamp_ntz").alias("account_creation_date"),
             F.col("c_name").alias("name"),
             F.col("c_mktsegment").alias("device_type"),
@@ -61,8 +65,8 @@ def event_transactions(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "events")
         .filter(F.col("event_type") == "purchase")
         .select(
-            F.col("event_id").cast("string").alias("order_id"),
-            F.col("user_id").cast("string").alias("customer_id"),
+            F.col("event_id").alias("order_id"),
+            F.col("user_id").alias("customer_id"),
             F.col("ts").alias("order_datetime"),
             F.col("value").alias("total_amount"),
         )
@@ -72,7 +76,7 @@ def event_transactions(spark: SparkSession, folder: str) -> DataFrame:
 def event_customers(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "events")
-        .select(F.col("user_id").cast("string").alias("customer_id"))
+        .select(F.col("user_id").alias("customer_id"))
         .distinct()
         .withColumn("account_creation_date", F.lit(None).cast("timestamp_ntz"))
     )

@@ -12,16 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from patronlens.functions.dates import midnight
 from patronlens.operators.clean import clean_transactions
 
-STATE_SCHEMA = (
-    "customer_id string, order_id string, at_midnight boolean, order_day date,"
-    " order_datetime timestamp_ntz, total_amount double, row_count bigint, batch bigint"
-)
+KEYS = ["customer_id", "order_id", "at_midnight", "order_day"]
 
 
 def partial_rows(transactions: DataFrame) -> DataFrame:
@@ -76,13 +74,40 @@ def refresh_state(
     query.awaitTermination()
 
 
+def _compacted_upto(spark: SparkSession, state: str) -> int:
+    """The last batch covered by a finished compaction, or -1."""
+    try:
+        done = spark.read.parquet(f"{state}/compactions")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return -1
+        raise
+    return done.agg(F.max("upto")).head()[0]
+
+
 def stored_rows(spark: SparkSession, state: str) -> DataFrame:
     """All partial rows; use them wherever clean transactions are expected."""
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{state}/rows")
+    upto = _compacted_upto(spark, state)
+    rows = spark.read.parquet(f"{state}/rows").filter(F.col("batch") > upto).drop("batch")
+    if upto < 0:
+        return rows
+    return spark.read.parquet(f"{state}/compacted/{upto}").unionByName(rows)
+
 
+def compact_state(spark: SparkSession, state: str) -> None:
+    """Merge all stored batches into one table, so that reading does not slow down over time.
 
-def average_order_value(rows: DataFrame) -> DataFrame:
-    """Mean amount per original transaction row and customer, from partial rows."""
-    return rows.groupBy("customer_id").agg(
-        (F.sum("total_amount") / F.sum("row_count")).alias("aov")
+    A compaction counts only once its number has been noted, which happens last; one that
+    breaks off is simply ignored. Batches it covers may be deleted afterwards.
+    """
+    latest = spark.read.parquet(f"{state}/rows").agg(F.max("batch")).head()[0]
+    if latest is None or latest <= _compacted_upto(spark, state):
+        return
+    merged = stored_rows(spark, state).groupBy(*KEYS).agg(
+        F.max("order_datetime").alias("order_datetime"),
+        F.sum("total_amount").alias("total_amount"),
+        F.sum("row_count").alias("row_count"),
     )
+    merged.write.mode("overwrite").parquet(f"{state}/compacted/{latest}")
+    note = spark.range(1).select(F.lit(latest).alias("upto"))
+    note.write.mode("append").parquet(f"{state}/compactions")

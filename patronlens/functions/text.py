@@ -14,18 +14,24 @@ _MASK = (1 << _HALF_BITS) - 1
 
 
 def _rounded_units(value: Column, digits: int, ties: str) -> Column:
-    """|value| in units of 10^-digits as a bigint, computed in integer arithmetic."""
+    """|value| in units of 10^-digits as a bigint, computed in integer arithmetic.
+
+    The fraction is held as 60 binary digits plus the rest that small values have below
+    them; the products are split into halves so that they fit 64 bits.
+    """
     scale = 10**digits
     size = F.abs(value)
     whole = F.floor(size).cast("bigint")
-    fraction = ((size - whole.cast("double")) * float(1 << (2 * _HALF_BITS))).cast("bigint")
-    low = fraction.bitwiseAND(F.lit(_MASK)) * F.lit(scale)
+    binary = (size - whole.cast("double")) * float(1 << (2 * _HALF_BITS))
+    fraction = binary.cast("bigint")
+    below = (binary - fraction.cast("double")) * float(scale)
+    low = fraction.bitwiseAND(F.lit(_MASK)) * F.lit(scale) + F.floor(below).cast("bigint")
     high = F.shiftright(fraction, _HALF_BITS) * F.lit(scale) + F.shiftright(low, _HALF_BITS)
     units = whole * F.lit(scale) + F.shiftright(high, _HALF_BITS)
     rest = F.shiftleft(high.bitwiseAND(F.lit(_MASK)), _HALF_BITS) + low.bitwiseAND(F.lit(_MASK))
     half = F.lit(1 << (2 * _HALF_BITS - 1))
     tie_up = F.lit(True) if ties == "up" else (units % 2 == 1)
-    up = (rest > half) | ((rest == half) & tie_up)
+    up = (rest > half) | ((rest == half) & (tie_up | (below > F.floor(below))))
     return units + F.when(up, 1).otherwise(0)
 
 

@@ -311,7 +311,7 @@ def split_assignment(spark, folder):
 
 
 def _rule_scores(spark, folder, mapping):
-    scored = analysis(spark, folder, mapping, scorer="rule").scored
+    scored = analysis(spark, folder, mapping, scorer="rule").scored_base
     return scored.select("customer_id", "recencyDays", F.round("churnRisk", FINE).alias("churnRisk"))
 
 
@@ -323,13 +323,13 @@ def rule_churn(spark, folder):
 @query
 def rule_churn_events(spark, folder):
     """No label variety here, so the automatic scorer falls back to the rule."""
-    scored = analysis(spark, folder, "events").scored
+    scored = analysis(spark, folder, "events").scored_base
     return scored.select("customer_id", "recencyDays", F.round("churnRisk", FINE).alias("churnRisk"))
 
 
 @query
 def lr_score(spark, folder):
-    scored = analysis(spark, folder, "orders").scored
+    scored = analysis(spark, folder, "orders").scored_base
     return scored.select("customer_id", F.round("churnRisk", MEAN).alias("churnRisk"))
 
 
@@ -696,9 +696,10 @@ def retention_by_segment(spark, folder):
 @query
 def streaming_refresh(spark, folder):
     """Orders streamed into the stored state, and the features rebuilt from it."""
-    schema = star.table(spark, folder, "orders").schema
     arriving = star.as_transactions(
-        refresh.transaction_stream(spark, folder, schema, pathGlobFilter="orders.parquet")
+        refresh.transaction_stream(
+            spark, folder, star.SCHEMAS["orders"], pathGlobFilter="orders.parquet"
+        )
     )
     state = sinks.shared_folder(spark)
     refresh.refresh_state(arriving, state)

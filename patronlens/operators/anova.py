@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from patronlens.fixed_values import MIN_GROUP_ROWS, SIGNIFICANCE
 from patronlens.functions.fdist import f_p_value
+from patronlens.operators.joins import join_unique
 
 # What is tested by default, as {test name: (metric, dimension)}.
 DEFAULT_TESTS = {"Avg order value differs by device_type": ("aov", "device_type")}
@@ -115,6 +116,5 @@ def run_tests(customers: DataFrame, transactions: DataFrame) -> DataFrame:
     """Test records straight from cleaned tables."""
     kept = [c for c in ("device_type",) if c in customers.columns]
     averages = average_order_value(transactions)
-    return order_value_tests(
-        customers.select("customer_id", *kept).join(averages, "customer_id")
-    )
+    attributes = customers.select("customer_id", *kept)
+    return order_value_tests(join_unique(averages, attributes, "customer_id", "inner"))

@@ -48,7 +48,7 @@ def stock_risk(inventory: DataFrame) -> DataFrame:
 def stock_risk_by_category(inventory: DataFrame, products: DataFrame) -> DataFrame:
     return (
         understocked(inventory)
-        .join(products.select("sku", "category"), "sku")
+        .join(products.select("sku", "category").distinct(), "sku")
         .groupBy("category")
         .agg(F.count("*").alias("skus_at_risk"))
     )
@@ -134,7 +134,7 @@ def inventory_turnover(
         sold.unionByName(held)
         .groupBy("sku")
         .agg(F.sum("quantity").alias("quantity"), F.sum("held").alias("held"))
-        .join(products.select("sku", "cost_price"), "sku")
+        .join(products.groupBy("sku").agg(F.max("cost_price").alias("cost_price")), "sku")
         .agg(
             F.sum(F.col("quantity") * cost).alias("sold_cost"),
             F.sum(F.col("held") * cost).alias("stock_cost"),

@@ -1,27 +1,69 @@
-"""Join and membership helpers that stay balanced when one key holds most of the rows."""
+"""Join and membership helpers that stay balanced when one key holds most of the rows.
+
+Adaptive execution splits a hot key only if both join inputs come straight from a shuffle.
+Here one input is an aggregate, so hot keys are found by counting and handled apart: there
+are never many of them, since each one has at least ``hot_rows`` rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
+    """Keys with more than ``hot_rows`` rows; counted map-side before the shuffle."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    return [row[key] for row in counts.select(key).dropna().collect()]
+
 
+def _split(df: DataFrame, is_hot: Column) -> tuple[DataFrame, DataFrame]:
+    hot = F.coalesce(is_hot, F.lit(False))
+    return df.filter(~hot), df.filter(hot)
 
-def left_join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join of a table that is unique on ``key`` with one that may repeat keys.
 
-    Adaptive execution can split a hot key on either side of an inner join, but never on
-    the optional side of an outer join. So matches come from an inner join, and the rows
-    without a match from an anti join against the distinct keys.
+def join_unique(
+    unique: DataFrame,
+    other: DataFrame,
+    key: str,
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Left or inner join of a table that is unique on ``key`` with one that may repeat keys.
+
+    The rows of a hot key are dealt out over salts, and its single partner row is copied to
+    each salt. A hot key always has matches, so that part is an inner join in any case.
     """
-    matched = left.join(right, key)
-    unmatched = left.join(right.select(key).distinct(), key, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
-
-
-def flag_members(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
-    """Mark rows of ``df`` whose key occurs in ``ids``."""
-    members = ids.select(key).distinct().withColumn("_member", F.lit(True))
-    return (
-        df.join(members, key, "left")
-        .withColumn(flag, F.col("_member").isNotNull())
-        .drop("_member")
+    found = hot_keys(other, key, hot_rows)
+    if not found:
+        return unique.join(other, key, how)
+    is_hot = F.col(key).isin(found)
+    plain_unique, hot_unique = _split(unique, is_hot)
+    plain_other, hot_other = _split(other, is_hot)
+    copies = hot_unique.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )
+    dealt = hot_other.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+    spread = copies.join(dealt, [key, "_salt"]).drop("_salt")
+    return plain_unique.join(plain_other, key, how).unionByName(spread)
+
+
+def flag_members(
+    df: DataFrame, ids: DataFrame, key: str, flag: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Mark rows of ``df`` whose key occurs in ``ids``; hot keys are compared as constants."""
+    members = ids.select(key).distinct()
+
+    def joined(part: DataFrame) -> DataFrame:
+        marked = part.join(members.withColumn("_member", F.lit(True)), key, "left")
+        return marked.withColumn(flag, F.col("_member").isNotNull()).drop("_member")
+
+    found = hot_keys(df, key, hot_rows)
+    if not found:
+        return joined(df)
+    is_hot = F.col(key).isin(found)
+    known = [row[key] for row in members.filter(is_hot).collect()]
+    plain, hot = _split(df, is_hot)
+    return joined(plain).unionByName(hot.withColumn(flag, F.col(key).isin(known)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patronlens.fixed_values import CUSTOMER_ATTRIBUTES
 from patronlens.functions.dates import whole_days_between
 from patronlens.operators.anchor import Window
-from patronlens.operators.joins import left_join_unique
+from patronlens.operators.joins import join_unique
 
 FEATURES = [
     "last_order", "frequency", "monetary", "frequency90d", "monetary90d", "recencyDays",
@@ -91,7 +91,7 @@ def with_attributes(features: DataFrame, customers: DataFrame) -> DataFrame:
     two rows.
     """
     kept = [c for c in CUSTOMER_ATTRIBUTES if c in customers.columns]
-    return left_join_unique(features, customers.select("customer_id", *kept), "customer_id")
+    return join_unique(features, customers.select("customer_id", *kept), "customer_id")
 
 
 def active_customers(transactions: DataFrame, window: Window) -> DataFrame:

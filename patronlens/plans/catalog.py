@@ -24,6 +24,7 @@ from patronlens.operators import (
 from patronlens.operators.joins import flag_members
 from patronlens.plans.customer_insights import CustomerInsights
 from patronlens.sources import sinks, star_schema as star
+from patronlens.sources.bundle import load_bundle
 from patronlens.sources.delimited import drop_missing_tokens, read_delimited
 from patronlens.streaming import refresh
 
@@ -458,6 +459,34 @@ def response_json(spark, folder):
     return analysis(spark, folder, "orders").response()
 
 
+@query
+def response_fields(spark, folder):
+    """Fields picked out of the JSON document."""
+    document = analysis(spark, folder, "orders", scorer="rule").response()
+    paths = {
+        "days": ("$.range.days", "int"),
+        "end": ("$.range.end", "date"),
+        "active": ("$.kpis.activeCustomers.value", "bigint"),
+        "average": ("$.kpis.avgCustomerValue.value", "double"),
+        "risky": ("$.kpis.churnRiskCustomers.value", "bigint"),
+        "retention": ("$.kpis.retentionRate.value", "double"),
+        "segment": ("$.segments[0].name", "string"),
+        "segment_size": ("$.segments[0].value", "bigint"),
+        "trend_month": ("$.clvTrend[5].month", "string"),
+        "trend_value": ("$.clvTrend[5].value", "double"),
+        "top_id": ("$.topCustomers[0].id", "string"),
+        "last_id": ("$.topCustomers[11].id", "string"),
+        "model": ("$.model.churnModel.type", "string"),
+        "method": ("$.tests[0].method", "string"),
+        "severity": ("$.insights[0].severity", "string"),
+        "fact": ("$.grounding.facts[0]", "string"),
+    }
+    picked = document.select(
+        [F.get_json_object("response", p).cast(t).alias(n) for n, (p, t) in paths.items()]
+    )
+    return rounded(picked, {"average": MEAN, "retention": FINE, "trend_value": MEAN})
+
+
 @query
 def response_json_events(spark, folder):
     return analysis(spark, folder, "events", days=7).response()
@@ -684,6 +713,13 @@ def kpi_changes_events(spark, folder):
     return rounded(_compared(spark, folder, "events", 7).kpi_changes, CHANGE_DIGITS)
 
 
+@query
+def kpi_changes_model(spark, folder):
+    """Both periods scored by models of their own."""
+    run = analysis(spark, folder, "orders", days=90, compare=True)
+    return rounded(run.kpi_changes, CHANGE_DIGITS)
+
+
 @query
 def retention_by_segment(spark, folder):
     found = kpis.retention_by_segment(analysis(spark, folder, "orders").features)
@@ -709,6 +745,17 @@ def streaming_refresh(spark, folder):
     return rounded(found, FEATURE_DIGITS)
 
 
+@query
+def csv_folder_kpis(spark, folder):
+    """Customers and orders exported as CSV, loaded as a table folder and analysed."""
+    path = sinks.shared_folder(spark)
+    bundle = star.orders_bundle(spark, folder)
+    bundle.customers.write.option("header", True).csv(f"{path}/customers.csv")
+    bundle.transactions.write.option("header", True).csv(f"{path}/transactions.csv")
+    run = CustomerInsights(load_bundle(spark, path), scorer="rule")
+    return rounded(run.kpis, KPI_DIGITS)
+
+
 @query
 def stored_result(spark, folder):
     """Segment sizes stored under (days, anchor) and read back."""

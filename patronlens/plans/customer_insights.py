@@ -15,6 +15,7 @@ from patronlens.operators.clean import clean_bundle
 from patronlens.operators.rfm import FEATURES, customer_activity, with_attributes
 from patronlens.operators.segments import with_segments
 from patronlens.sources.bundle import TableBundle
+from patronlens.sources.sinks import shared_folder
 
 PREVIOUS = "_previous"
 
@@ -77,9 +78,11 @@ class CustomerInsights(PeriodAnalysis):
 
     The transactions are read once for the anchor (not at all if it is given) and once for
     everything else. The resulting customer-grain table feeds several passes (thresholds,
-    model, figures, lists), so it is persisted, spilling to disk. ``release`` drops it; so
-    does leaving a ``with`` block. An analysis of changed files must follow the release of
-    the old one.
+    model, figures, lists). On a cluster it is written to the shared folder the session
+    names, so that a lost executor never costs another pass over the transactions; on one
+    machine it is persisted. ``keep`` overrides the choice. ``release`` drops persisted
+    tables; so does leaving a ``with`` block. An analysis of changed files must follow the
+    release of the old one.
     """
 
     def __init__(
@@ -90,9 +93,12 @@ class CustomerInsights(PeriodAnalysis):
         scorer: str = "auto",
         model_features: tuple[str, ...] = tuple(fixed.CHURN_FEATURES),
         compare: bool = False,
+        keep: str | None = None,
     ):
         if scorer not in ("auto", "rule"):
             raise ValueError("scorer must be 'auto' or 'rule'")
+        if keep not in (None, "memory", "storage"):
+            raise ValueError("keep must be 'memory' or 'storage'")
         self.bundle = clean_bundle(bundle)
         self.days = days
         self._persisted: list[DataFrame] = []
@@ -102,11 +108,20 @@ class CustomerInsights(PeriodAnalysis):
             windows.append(Window(window.anchor - timedelta(days=days), days))
             suffixes.append(PREVIOUS)
         activity = customer_activity(self.bundle.transactions, windows, suffixes)
-        table = self._keep(with_attributes(activity, self.bundle.customers))
+        table = self._kept_table(with_attributes(activity, self.bundle.customers), keep)
         super().__init__(table, window, "", scorer, model_features)
         if compare:
             self.previous = PeriodAnalysis(table, windows[1], PREVIOUS, scorer, model_features)
 
+    def _kept_table(self, df: DataFrame, keep: str | None) -> DataFrame:
+        spark = df.sparkSession
+        local = spark.conf.get("spark.master", "").startswith("local")
+        if (keep or ("memory" if local else "storage")) == "memory":
+            return self._keep(df)
+        path = shared_folder(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     def _keep(self, df: DataFrame) -> DataFrame:
         self._persisted.append(df.persist())
         return df

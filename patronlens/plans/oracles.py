@@ -360,6 +360,19 @@ def oracle_sql() -> dict[str, str]:
         format('Avg order value differs by device_type (p={{:.4f}}).', p),
         'Use this segment dimension when designing offers or UX changes.'
       FROM p WHERE p < 0.05"""
+    sql["csv_folder_kpis"] = sql["headline_kpis"]
+    sql["response_fields"] = on_kpis(f"""SELECT 30 AS days, CAST((SELECT e FROM a) AS DATE) AS "end",
+      "activeCustomers" AS active, round("avgCustomerValue", 4) AS average,
+      "churnRiskCustomers" AS risky, round("retentionRate", 6) AS retention,
+      (SELECT min(segment) FROM feats) AS segment,
+      (SELECT count(*) FROM feats WHERE segment = (SELECT min(segment) FROM feats))
+        AS segment_size,
+      (SELECT max(month) FROM ({TREND})) AS trend_month,
+      (SELECT arg_max(value, month) FROM ({TREND})) AS trend_value,
+      (SELECT id FROM ({TOP}) LIMIT 1) AS top_id,
+      (SELECT id FROM ({TOP}) LIMIT 1 OFFSET 11) AS last_id,
+      'rule_only' AS model, 'ANOVA' AS method, 'warning' AS severity,
+      'Active customers: ' || "activeCustomers" AS fact FROM kpi""")
     sql["insights_events"] = on_features(INSIGHTS, "events")
     sql["active_customers"] = on_features(
         "SELECT DISTINCT customer_id FROM tx, a WHERE order_datetime BETWEEN s AND e", days=90

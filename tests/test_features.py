@@ -150,3 +150,25 @@ def test_missing_optional_customer_columns(spark, transactions):
         assert run.model.features == ("recencyDays", "frequency90d", "monetary90d")
         top = run.top_customers.head()
         assert (top["id"], top["name"]) == ("a", "a")
+
+
+def test_no_order_before_the_anchor(transactions, customers):
+    """All orders fall on the last day, after midnight: no features, but a complete response."""
+    orders = [(f"o{i}", f"c{i}", "2024-03-01 10:00:00", i) for i in range(12)]
+    known = customers([(f"c{i}", None, "x" if i < 6 else "y") for i in range(12)])
+    with CustomerInsights(TableBundle(known, transactions(orders))) as run:
+        assert run.base.count() == 0
+        assert run.model.type == "rule_only"
+        assert tuple(run.kpis.head()) == (0, 0.0, 0, 0.0)
+        assert run.tests.count() == 1
+        assert run.response().head()[0].startswith('{"range":{"days":30,"end":"2024-03-01"}')
+
+
+def test_table_kept_in_storage_gives_the_same_result(transactions, customers):
+    orders = [(f"o{i}", f"c{i % 5}", f"2024-02-{1 + i:02d}", i) for i in range(20)]
+    bundle = TableBundle(customers([("c1", "n", "x")]), transactions([*orders, LAST]))
+    results = []
+    for keep in ("memory", "storage"):
+        with CustomerInsights(bundle, scorer="rule", keep=keep) as run:
+            results.append(sorted(map(str, run.scored.collect())))
+    assert results[0] == results[1]

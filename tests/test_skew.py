@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from patronlens.operators.anchor import reporting_window
-from patronlens.operators.joins import flag_members, left_join_unique
+from patronlens.operators.joins import flag_members, hot_keys, join_unique
 from patronlens.operators.quality import cleaning_report
 from patronlens.operators.rfm import rfm_features
 from patronlens.plans.customer_insights import CustomerInsights
@@ -76,12 +76,18 @@ def test_joins_with_hot_keys(spark, broadcast):
     try:
         left = spark.range(100).selectExpr("id AS k", "id * 2 AS a")
         right = spark.range(900).selectExpr("IF(id < 300, 7, id) AS k", "id AS b")
-        joined = left_join_unique(left, right, "k").collect()
-        assert sum(r["k"] == 7 for r in joined) == 300
-        assert {r["k"] for r in joined if r["b"] is None} == set(range(100)) - {7}
-        assert len(joined) == 300 + 99
-        flagged = flag_members(right, spark.range(8).selectExpr("id AS k"), "k", "f")
-        assert flagged.filter("f").count() == 300
+        assert hot_keys(right, "k", 100) == [7] and hot_keys(right, "k", 300) == []
+        for hot_rows in (100, 1_000_000):
+            joined = join_unique(left, right, "k", "left", hot_rows).collect()
+            assert sorted(r["b"] for r in joined if r["k"] == 7) == list(range(300))
+            assert {r["k"] for r in joined if r["b"] is None} == set(range(100)) - {7}
+            assert len(joined) == 300 + 99
+            inner = join_unique(left, right, "k", "inner", hot_rows)
+            assert (inner.count(), inner.columns) == (300, ["k", "a", "b"])
+            for ids, hits in ((8, 300), (7, 0)):
+                members = spark.range(ids).selectExpr("id AS k")
+                flagged = flag_members(right, members, "k", "f", hot_rows)
+                assert (flagged.filter("f").count(), flagged.count()) == (hits, 900)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 

@@ -1,10 +1,11 @@
 """Exact quantiles of large tables without gathering the values in one place.
 
-The built-in exact percentile merges every distinct value into a single buffer. Here a
-sketch of bounded size first proposes cut points close to each wanted rank, then exact
-counts tell between which cuts the rank really lies, and only the values inside that narrow
-range are put in order. The sketch never decides a result: if its guess were off, the
-counts would simply point at a wider range. The driver sees a handful of numbers.
+The built-in exact percentile merges every distinct value into a single buffer. Here each
+wanted rank is narrowed down to a small range of values first: a sketch of bounded size
+proposes cut points close to the rank, exact counts tell between which cuts it really lies,
+and this repeats until the range holds at most ``MAX_ORDERED`` rows. Only those are put in
+order. The sketch never decides a result: if its guess were off, the counts would simply
+point at a wider range. The driver sees a handful of numbers.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SKETCH_ACCURACY = 10_000
+# A range shrinks about 250-fold per round at this accuracy; finer sketches cost far more.
+SKETCH_ACCURACY = 1_000
+MAX_ORDERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -27,59 +30,94 @@ class Quantile:
     value: float
 
 
+@dataclass(frozen=True)
+class _Range:
+    """Values strictly between two bounds; ``before`` rows lie below, ``size`` inside."""
+
+    column: str
+    low: float | None
+    high: float | None
+    before: int
+    size: int
+
+    def value(self) -> Column:
+        """The column's value inside the range, null outside."""
+        v = F.col(self.column).cast("double")
+        inside = v.isNotNull()
+        if self.low is not None:
+            inside = inside & (v > self.low)
+        if self.high is not None:
+            inside = inside & (v < self.high)
+        return F.when(inside, v)
+
+
 def _interpolate(low: float, high: float, weight: float) -> float:
     step = high - low
     return high - step * (1 - weight) if weight >= 0.5 else low + step * weight
 
 
 def _cut_points(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], accuracy: int
-) -> tuple[dict[str, int], dict[str, list[float]]]:
+    df: DataFrame, ranges: Mapping[_Range, set[int]], accuracy: int
+) -> dict[_Range, list[float]]:
+    """Values near the wanted ranks of every range, from one aggregate."""
     margin = 2.0 / accuracy
-    aggregates = []
-    for i, (column, fractions) in enumerate(wanted.items()):
+    sketches = []
+    for i, (r, ranks) in enumerate(ranges.items()):
+        shares = [(rank - r.before) / max(r.size - 1, 1) for rank in ranks]
         grid = sorted(
-            {min(max(q + d, 0.0), 1.0) for q in fractions for d in (-margin, 0.0, margin)}
+            {min(max(s + d, 0.0), 1.0) for s in shares for d in (-margin, 0.0, margin)}
         )
-        v = F.col(column).cast("double")
-        aggregates += [
-            F.count(v).alias(f"n{i}"),
-            F.percentile_approx(v, grid, accuracy).alias(f"cuts{i}"),
-        ]
-    row = df.agg(*aggregates).head()
-    sizes = {c: row[f"n{i}"] for i, c in enumerate(wanted)}
-    return sizes, {c: sorted(set(row[f"cuts{i}"] or [])) for i, c in enumerate(wanted)}
+        sketches.append(F.percentile_approx(r.value(), grid, accuracy).alias(f"c{i}"))
+    row = df.agg(*sketches).head()
+    return {r: sorted(set(row[f"c{i}"])) for i, r in enumerate(ranges)}
 
 
-def _counts_at(df: DataFrame, cuts: Mapping[str, list[float]]) -> dict:
-    """{(column, cut): (rows below it, rows up to it)}, all in one aggregate."""
-    keys = [(c, cut) for c, points in cuts.items() for cut in points]
-    if not keys:
-        return {}
+def _narrowed(
+    df: DataFrame, ranges: Mapping[_Range, set[int]], accuracy: int
+) -> tuple[dict[tuple[str, int], float], dict[_Range, set[int]]]:
+    """One round: ranks that fall on a cut point get their value, the others a new range."""
+    cuts = _cut_points(df, ranges, accuracy)
+    keys = [(r.column, cut) for r, points in cuts.items() for cut in points]
     aggregates = []
-    for i, (c, cut) in enumerate(keys):
-        v = F.col(c).cast("double")
+    for i, (column, cut) in enumerate(keys):
+        v = F.col(column).cast("double")
         aggregates += [F.count_if(v < cut).alias(f"l{i}"), F.count_if(v <= cut).alias(f"u{i}")]
     row = df.agg(*aggregates).head()
-    return {key: (row[f"l{i}"], row[f"u{i}"]) for i, key in enumerate(keys)}
+    counts = {key: (row[f"l{i}"], row[f"u{i}"]) for i, key in enumerate(keys)}
+
+    values, rest = {}, {}
+    for r, ranks in ranges.items():
+        for rank in ranks:
+            low, high, before, upto = r.low, r.high, r.before, r.before + r.size
+            for cut in cuts[r]:
+                below, including = counts[r.column, cut]
+                if including <= rank:
+                    low, before = cut, including
+                elif below <= rank:
+                    values[r.column, rank] = cut
+                    break
+                else:
+                    high, upto = cut, below
+                    break
+            if (r.column, rank) not in values:
+                found = _Range(r.column, low, high, before, upto - before)
+                rest.setdefault(found, set()).add(rank)
+    return values, rest
 
 
-def _values_in_ranges(df: DataFrame, ranges: Mapping[tuple, set[int]]) -> dict:
-    """{(column, rank): value} for ranks known to lie inside (low, high) of a column."""
-    keys = list(ranges)
+def _ordered_values(
+    df: DataFrame, ranges: Mapping[_Range, set[int]]
+) -> dict[tuple[str, int], float]:
+    """Values at the wanted ranks of ranges that are small enough to be put in order."""
+    numbered = list(ranges.items())
     entries, hits = [], F.lit(False)
-    for i, (column, low, high, before) in enumerate(keys):
-        v = F.col(column).cast("double")
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (v > low)
-        if high is not None:
-            inside = inside & (v < high)
-        entries.append(F.when(inside, F.struct(F.lit(i).alias("range"), v.alias("v"))))
-        for rank in ranges[keys[i]]:
-            position = rank - before
+    for i, (r, ranks) in enumerate(numbered):
+        v = r.value()
+        entries.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("range"), v.alias("v"))))
+        for rank in ranks:
+            place = rank - r.before
             hits = hits | (
-                (F.col("range") == i) & (F.col("first") <= position) & (F.col("upto") > position)
+                (F.col("range") == i) & (F.col("first") <= place) & (F.col("upto") > place)
             )
     in_order = W.partitionBy("range").orderBy("v")
     found = (
@@ -94,45 +132,44 @@ def _values_in_ranges(df: DataFrame, ranges: Mapping[tuple, set[int]]) -> dict:
     )
     values = {}
     for row in found:
-        column, _, _, before = keys[row["range"]]
-        for rank in ranges[keys[row["range"]]]:
-            if row["first"] <= rank - before < row["upto"]:
-                values[column, rank] = row["v"]
+        r, ranks = numbered[row["range"]]
+        for rank in ranks:
+            if row["first"] <= rank - r.before < row["upto"]:
+                values[r.column, rank] = row["v"]
     return values
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], accuracy: int = SKETCH_ACCURACY
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    accuracy: int = SKETCH_ACCURACY,
+    max_ordered: int = MAX_ORDERED,
 ) -> dict[str, dict[float, Quantile | None]]:
     """Quantiles ``{column: {fraction: Quantile}}``; None for a column without values.
 
-    Reads ``df`` three times at most, so pass a persisted table. Nulls are ignored. The
-    values put in order are about ``4 / accuracy`` of the rows, grouped by value before the
-    shuffle; columns with few distinct values need no ordering at all.
+    Nulls are ignored. Pass a persisted or stored table: it is read once to count, once to
+    order, and twice per round of narrowing, of which there are none up to ``max_ordered``
+    rows and two at ten billion.
     """
-    sizes, cuts = _cut_points(df, wanted, accuracy)
-    counts = _counts_at(df, cuts)
+    counted = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(wanted)]).head()
+    sizes = {c: counted[f"n{i}"] for i, c in enumerate(wanted)}
 
     values: dict[tuple[str, int], float] = {}
-    ranges: dict[tuple, set[int]] = {}
-    for column, fractions in wanted.items():
-        top = sizes[column] - 1
-        ranks = {f(q * top) for q in fractions for f in (math.floor, math.ceil) if top >= 0}
-        for rank in ranks:
-            low, high, before = None, None, 0
-            for cut in cuts[column]:
-                below, upto = counts[column, cut]
-                if below <= rank < upto:
-                    values[column, rank] = cut
-                    break
-                if upto <= rank:
-                    low, before = cut, upto
-                elif high is None:
-                    high = cut
-            else:
-                ranges.setdefault((column, low, high, before), set()).add(rank)
-    if ranges:
-        values |= _values_in_ranges(df, ranges)
+    small: dict[_Range, set[int]] = {}
+    large: dict[_Range, set[int]] = {}
+    for c, fractions in wanted.items():
+        top = sizes[c] - 1
+        ranks = {f(q * top) for q in fractions for f in (math.floor, math.ceil)}
+        if top >= 0:
+            start = _Range(c, None, None, 0, sizes[c])
+            (small if sizes[c] <= max_ordered else large)[start] = ranks
+    while large:
+        found, rest = _narrowed(df, large, accuracy)
+        values |= found
+        large = {r: ranks for r, ranks in rest.items() if r.size > max_ordered}
+        small |= {r: ranks for r, ranks in rest.items() if r.size <= max_ordered}
+    if small:
+        values |= _ordered_values(df, small)
 
     def quantile(column: str, q: float) -> Quantile | None:
         position = q * (sizes[column] - 1)

@@ -8,9 +8,9 @@ from patronlens.operators.quantiles import exact_quantiles
 FRACTIONS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-def check(spark, values, accuracy=10_000, fractions=FRACTIONS):
+def check(spark, values, accuracy=1_000, max_ordered=50, fractions=FRACTIONS):
     frame = spark.createDataFrame([(v,) for v in values], "x double")
-    found = exact_quantiles(frame, {"x": fractions}, accuracy)["x"]
+    found = exact_quantiles(frame, {"x": fractions}, accuracy, max_ordered)["x"]
     known = np.array([v for v in values if v is not None])
     for q in fractions:
         assert found[q].rows == len(known)
@@ -30,15 +30,22 @@ SHAPES = {
 }
 
 
+@pytest.mark.parametrize("max_ordered", [50, 200_000])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_matches_numpy(spark, shape):
-    check(spark, SHAPES[shape])
+def test_matches_numpy(spark, shape, max_ordered):
+    check(spark, SHAPES[shape], max_ordered=max_ordered)
 
 
-@pytest.mark.parametrize("accuracy", [2, 5, 20])
+@pytest.mark.parametrize("shape", ["constant", "hot value", "mixed"])
+def test_narrowing_down_to_a_single_value(spark, shape):
+    check(spark, SHAPES[shape], max_ordered=1, fractions=[0.3])
+
+
+@pytest.mark.parametrize("accuracy", [5, 20])
 def test_coarse_sketch_never_changes_the_result(spark, accuracy):
     rng = random.Random(accuracy)
-    check(spark, [rng.expovariate(0.01) for _ in range(2000)], accuracy)
+    values = [rng.expovariate(0.01) for _ in range(2000)]
+    check(spark, values, accuracy, fractions=[0.25, 0.75])
 
 
 def test_many_columns_and_empty_column(spark):

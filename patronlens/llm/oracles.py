@@ -25,4 +25,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3}
+OP10 = rf"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0
+                  THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(host_rule, path_rule, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f AS (SELECT page_id, host_rule || path_rule AS rule, verdict,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(host_rule || path_rule) DESC) AS k
+      FROM p JOIN r ON (host = host_rule OR ends_with(host, '.' || host_rule)) AND starts_with(path, path_rule))
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host || path, 'casino|adult|free-bets|spam-farm|malware|phishing')
+                              THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op10_url_filter": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, pack
+from patronlens.llm import decontaminate, pack, urls
 from patronlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,12 @@ def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack(table(spark, folder, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
+    "op10_url_filter": op10_url_filter,
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, pack, urls
+from patronlens.llm import decontaminate, pack, rans, urls
 from patronlens.llm.common import table
+from patronlens.sources.sinks import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,12 @@ def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack(table(spark, folder, "documents"))
 
 
+def op7_rans_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = shared_folder(spark)
+    rans.write_ids(table(spark, folder, "documents"), files)
+    return rans.read_ids(spark, files)
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
@@ -36,5 +43,6 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
+    "op7_rans_files": op7_rans_files,
     "op10_url_filter": op10_url_filter,
 }

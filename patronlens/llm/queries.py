@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, pack, rans, urls
+from patronlens.llm import decontaminate, pack, pii, rans, urls
 from patronlens.llm.common import table
 from patronlens.sources.sinks import shared_folder
 
@@ -36,6 +36,11 @@ def op7_rans_files(spark: SparkSession, folder: str) -> DataFrame:
     return rans.read_ids(spark, files)
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.report(table(spark, folder, "documents")).drop("text_hash")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
@@ -44,5 +49,6 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op6_pack": op6_pack,
     "op7_rans_files": op7_rans_files,
+    "op8_pii": op8_pii,
     "op10_url_filter": op10_url_filter,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, pack, pii, rans, urls
-from patronlens.llm.common import table
+from patronlens.llm import decontaminate, language, pack, pii, quality, rans, toxicity, urls
+from patronlens.llm.common import held_out, table
 from patronlens.sources.sinks import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,24 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    machine = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score_documents(docs, machine).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack(table(spark, folder, "documents"))
 
@@ -41,14 +59,25 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    return language.predict(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_pack": op6_pack,
     "op7_rans_files": op7_rans_files,
     "op8_pii": op8_pii,
+    "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
 }

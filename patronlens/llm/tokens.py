@@ -24,6 +24,12 @@ CACHE_ENTRIES = 300_000
 SIMPLE_LETTERS = "ɐ"
 
 
+# The sign that byte-level tokenizers write for each byte: visible ones as they are, others in
+# order from U+0100.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_SIGNS = dict(zip([b for b in range(256) if b not in _VISIBLE], range(0x100, 0x200)))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -67,10 +73,17 @@ class Encoder:
             self.letters = {}
         # A word with a comma or a full stop has the ids of the word, then of the sign.
         parts = {piece: _word_and_sign(piece) for piece in new}
-        wanted = {part for both in parts.values() for part in both} - self.letters.keys()
-        wanted = sorted(wanted)
-        self.letters.update(zip(wanted, self._ids(wanted)))
         letters = self.letters
+        wanted = {part for both in parts.values() for part in both if part not in letters}
+        # A word of simple letters goes to the merging step at once, all else through every step.
+        merge, other = self.tokenizer.model.tokenize, []
+        for part in wanted:
+            if part.isalpha() and max(part) < SIMPLE_LETTERS and part.islower():
+                tokens = merge(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS))
+                letters[part] = np.asarray([t.id for t in tokens], "<u4").tobytes()
+            else:
+                other.append(part)
+        letters.update(zip(other, self._ids(other)))
         for piece, both in parts.items():
             self.cache[piece] = b"".join([letters[part] for part in both])
 

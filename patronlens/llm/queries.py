@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, language, pack, pii, quality, rans, toxicity, urls, vectors
+from patronlens.llm import decontaminate, language, neardup, pack, pii, quality, rans, toxicity, urls, vectors
 from patronlens.llm.common import held_out, table
 from patronlens.sources.sinks import shared_folder
 
@@ -18,6 +18,10 @@ def op1_vector_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op2_text_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -77,6 +81,7 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_vector_duplicates": op1_vector_duplicates,
+    "op2_text_duplicates": op2_text_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,

@@ -35,9 +35,9 @@ from patronlens.llm.tokens import END_ID, default_tokenizer, encoder
 
 PRECISION = 20  # frequencies add up to 2**PRECISION, so up to a million different ids
 LOW = np.uint64(1 << 31)  # a state stays in [2**31, 2**63)
-BLOCK_IDS = 1 << 18
-LANES = 512
-CHECKPOINT = 256
+BLOCK_IDS = 1 << 19
+LANES = 2048
+CHECKPOINT = 128
 MAGIC = b"PLR1"
 HEAD = struct.Struct("<4sQIIIQ")  # magic, ids, lanes, steps between checkpoints, crc of ids, words
 

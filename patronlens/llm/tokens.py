@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,8 @@ import pyarrow as pa
 END_ID = 1
 #: Pieces kept per worker; when there are more the table starts anew, so memory is bounded.
 CACHE_ENTRIES = 300_000
-# Below this code point, letters keep their ids when they are put in lower case beforehand.
-SIMPLE_LETTERS = "ɐ"
+# Letters that keep their ids when they are put in lower case beforehand, and a sign after them.
+WORD_AND_SIGN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)").fullmatch
 
 
 # The sign that byte-level tokenizers write for each byte: visible ones as they are, others in
@@ -50,6 +52,7 @@ class Encoder:
             self.by_piece = splits_at_space(json.load(file))
         self.cache: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
+        self.signs = dict(zip(["", ".", ","], [b"", *self._ids([".", ","])]))
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
@@ -71,28 +74,22 @@ class Encoder:
             self.cache, new = {"": b""}, set(pieces) - {""}
         if len(self.letters) > CACHE_ENTRIES:
             self.letters = {}
-        # A word with a comma or a full stop has the ids of the word, then of the sign.
-        parts = {piece: _word_and_sign(piece) for piece in new}
-        letters = self.letters
-        wanted = {part for both in parts.values() for part in both if part not in letters}
-        # A word of simple letters goes to the merging step at once, all else through every step.
-        merge, other = self.tokenizer.model.tokenize, []
-        for part in wanted:
-            if part.isalpha() and max(part) < SIMPLE_LETTERS and part.islower():
-                tokens = merge(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS))
-                letters[part] = np.asarray([t.id for t in tokens], "<u4").tobytes()
-            else:
-                other.append(part)
-        letters.update(zip(other, self._ids(other)))
-        for piece, both in parts.items():
-            self.cache[piece] = b"".join([letters[part] for part in both])
-
-
-def _word_and_sign(piece: str) -> tuple[str, ...]:
-    core, sign = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
-    if core.isalpha() and max(core) < SIMPLE_LETTERS and "İ" not in core:
-        return (core.lower(), sign) if sign else (core.lower(),)
-    return (piece,)
+        # A word of simple letters goes to the merging step at once, and the sign after it follows;
+        # all else goes through every step of the tokenizer.
+        letters, merge, other = self.letters, self.tokenizer.model.tokenize, []
+        for piece in new:
+            simple = WORD_AND_SIGN(piece)
+            if simple is None:
+                other.append(piece)
+                continue
+            word, sign = simple.groups()
+            word = word.lower()
+            ids = letters.get(word)
+            if ids is None:
+                signs = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+                ids = letters[word] = array("I", [t.id for t in merge(signs)]).tobytes()
+            self.cache[piece] = ids + self.signs[sign]
+        self.cache.update(zip(other, self._ids(other)))
 
 
 def splits_at_space(file: dict) -> bool:

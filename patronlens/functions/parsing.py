@@ -10,7 +10,8 @@ from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, Stri
 from patronlens.fixed_values import MISSING_TOKENS
 
 NUMBER_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
-DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$"
+ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
 def missing_to_null(value: Column, dtype: DataType) -> Column:
@@ -40,12 +41,16 @@ def parse_timestamp(
 ) -> Column:
     """Zone-less timestamp, or null for text that is not a date.
 
-    ISO text always parses; other layouts are tried in the order the caller lists them.
+    ISO text always parses, the compact form of a day (20240115) and an hour alone included. A
+    zone is dropped and the clock time kept. Other layouts are tried in the order the caller lists them.
     """
     if not isinstance(dtype, StringType):
         return value.cast("timestamp_ntz")
     text = F.trim(value)
-    iso = F.when(text.rlike(DATE_SHAPE), text.try_cast("timestamp_ntz"))
+    clock = F.when(F.length(text) > 10, F.regexp_replace(text, ZONE, "")).otherwise(text)
+    clock = F.regexp_replace(clock, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    clock = F.regexp_replace(clock, r"^(\S{10}[ T]\d{2})$", "$1:00")
+    iso = F.when(clock.rlike(DATE_SHAPE), clock.try_cast("timestamp_ntz"))
     extra = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(iso, *extra)
 

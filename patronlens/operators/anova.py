@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from patronlens.fixed_values import MIN_GROUP_ROWS, SIGNIFICANCE
 from patronlens.functions.fdist import f_p_value
 from patronlens.operators.joins import join_unique
 
+DEFAULT_DIMENSIONS = ("device_type",)
 # What is tested by default, as {test name: (metric, dimension)}.
 DEFAULT_TESTS = {"Avg order value differs by device_type": ("aov", "device_type")}
 
 
 def average_order_value(transactions: DataFrame) -> DataFrame:
-    """Mean amount per customer over all clean transactions, whatever their date."""
-    return transactions.groupBy("customer_id").agg(F.avg("total_amount").alias("aov"))
+    """Mean amount per customer over all clean transactions, whatever their date.
+
+    Partial rows of the stored stream state count as the transactions they stand for.
+    """
+    rows = F.sum("row_count") if "row_count" in transactions.columns else F.count("*")
+    mean = F.sum("total_amount") / rows
+    return transactions.groupBy("customer_id").agg(mean.alias("aov"))
 
 
 def group_moments(
@@ -50,11 +56,10 @@ def group_moments(
 
 def one_way_anova(moments: DataFrame) -> DataFrame:
     """One row per test that has at least two groups of at least five rows each."""
-    per_test = W.partitionBy("test")
-    rows = F.sum("n").over(per_test)
-    grand = F.sum(F.col("n") * F.col("mean")).over(per_test) / rows
+    weighted = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    grand = moments.groupBy("test").agg(weighted.alias("grand"))
     sums = (
-        moments.withColumn("grand", grand)
+        moments.join(grand, "test")
         .groupBy("test")
         .agg(
             F.count("*").alias("k"),
@@ -95,13 +100,18 @@ def test_records(results: DataFrame) -> DataFrame:
 test_records.__test__ = False  # not a unit test, whatever its name suggests to a collector
 
 
-def order_value_tests(customers: DataFrame, dimension: str = "device_type") -> DataFrame:
-    """Test records for rows with ``aov`` and the dimension.
+def order_value_test_name(dimension: str) -> str:
+    return f"Avg order value differs by {dimension}"
+
+
+def order_value_tests(customers: DataFrame, *dimensions: str) -> DataFrame:
+    """Test records for rows with ``aov`` and the dimensions, by default the device.
 
-    The table is empty when the dimension does not exist. Rows lacking either value, such
+    Dimensions that do not exist are passed over. Rows lacking either value, such
     as customers without a master record, take no part.
     """
-    if dimension not in customers.columns:
+    present = [d for d in dimensions or DEFAULT_DIMENSIONS if d in customers.columns]
+    if not present:
         nothing = customers.sparkSession.range(0)
         return nothing.select(
             F.lit("").alias("name"),
@@ -109,7 +119,8 @@ def order_value_tests(customers: DataFrame, dimension: str = "device_type") -> D
             F.lit(0.0).alias("pValue"),
             F.lit("").alias("result"),
         )
-    return test_records(one_way_anova(group_moments(customers)))
+    tests = {order_value_test_name(d): ("aov", d) for d in present}
+    return test_records(one_way_anova(group_moments(customers, tests)))
 
 
 def run_tests(customers: DataFrame, transactions: DataFrame) -> DataFrame:

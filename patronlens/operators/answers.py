@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patronlens import fixed_values as fixed
 from patronlens.operators.anchor import Window
+from patronlens.operators.insights import test_position
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,7 @@ def answer_context(
     facts: DataFrame,
     insights: DataFrame,
     tests: DataFrame,
+    test_order: Sequence[str] = (),
 ) -> AnswerContext:
     """Gather the ingredients of every answer; each of them is bounded by design."""
     reached = {row["d"]: row["n"] for row in active_by_days(features, window).collect()}
@@ -62,7 +64,8 @@ def answer_context(
     for d in range(max(reached, default=0) + 1):
         total += reached.get(d, 0)
         active.append(total)
-    significant = tests.filter(F.col("result") == "significant").orderBy("name").limit(1)
+    place = test_position(test_order, F.col("name"))
+    significant = tests.filter(F.col("result") == "significant").orderBy(place, "name").limit(1)
     shown = insights.select("title", "evidence", "recommendedAction")
     return AnswerContext(
         active=active,

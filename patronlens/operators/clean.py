@@ -9,6 +9,8 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from pyspark.sql.types import IntegralType, NumericType
+
 from patronlens.fixed_values import (
     CUSTOMER_NUMBERS,
     TRANSACTION_NUMBERS,
@@ -57,13 +59,18 @@ def clean_transactions(
 def clean_bundle(bundle: TableBundle, date_formats: Sequence[str] = ()) -> TableBundle:
     """Clean customers and transactions; the other tables pass through unchanged.
 
-    Customer ids keep their type, since numbers are smaller to shuffle than text. If the two
-    tables disagree, both become text: a mixed join would coerce values silently.
+    Customer ids keep their type, since numbers are smaller to shuffle than text. Two types of
+    numbers become doubles, or longs if both are whole numbers, so that equal ids stay equal.
+    If only one side is text, both become text: a mixed join would coerce values silently.
     """
     customers = clean_customers(bundle.customers, date_formats)
     transactions = clean_transactions(bundle.transactions, date_formats)
     key = "customer_id"
-    if customers.schema[key].dataType != transactions.schema[key].dataType:
-        customers = customers.withColumn(key, F.col(key).cast("string"))
-        transactions = transactions.withColumn(key, F.col(key).cast("string"))
+    types = [customers.schema[key].dataType, transactions.schema[key].dataType]
+    if types[0] != types[1]:
+        common = "string"
+        if all(isinstance(t, NumericType) for t in types):
+            common = "bigint" if all(isinstance(t, IntegralType) for t in types) else "double"
+        customers = customers.withColumn(key, F.col(key).cast(common))
+        transactions = transactions.withColumn(key, F.col(key).cast(common))
     return replace(bundle, customers=customers, transactions=transactions)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patronlens import fixed_values as fixed
 from patronlens.functions.text import fixed_text, percent_text
@@ -43,10 +45,22 @@ def test_insights(tests: DataFrame) -> DataFrame:
 test_insights.__test__ = False  # not a unit test, whatever its name suggests
 
 
-def insights(features: DataFrame, tests: DataFrame) -> DataFrame:
-    """Ranked insights: the at-risk warning first, then tests, six rows at most."""
-    first = at_risk_insight(features).select("*", F.lit(0).alias("_rank"), F.lit("").alias("_test"))
-    rest = test_insights(tests).select(*INSIGHT_COLUMNS, F.lit(1).alias("_rank"), "_test")
+def test_position(names: Sequence[str], name: Column) -> Column:
+    """Place of a test in the order given; tests that are not listed come last."""
+    listed = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), name)
+    return F.when(listed > 0, listed).otherwise(len(names) + 1)
+
+
+test_position.__test__ = False
+
+
+def insights(features: DataFrame, tests: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Ranked insights: the at-risk warning first, then tests in order, six rows at most."""
+    first = at_risk_insight(features).select(
+        "*", F.lit(0).cast("long").alias("_rank"), F.lit("").alias("_test")
+    )
+    place = test_position(order, F.col("_test")).cast("long")
+    rest = test_insights(tests).select(*INSIGHT_COLUMNS, place.alias("_rank"), "_test")
     return (
         first.unionByName(rest)
         .orderBy("_rank", "_test")

@@ -102,16 +102,11 @@ def reorder_alerts(outlook: DataFrame) -> DataFrame:
     )
 
 
-def reorder_message(outlook: DataFrame, named: int = 3) -> DataFrame:
-    """One row: how many SKUs need reordering and the names of the most urgent ones."""
+def reorder_message(outlook: DataFrame) -> DataFrame:
+    """Every SKU that needs reordering with its days left, and how many they are."""
     alerts = reorder_alerts(outlook)
-    urgent = alerts.orderBy("days_to_stock_out", "sku").limit(named)
-    entry = F.struct("days_to_stock_out", "sku")
-    names = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["sku"].cast("string"))
-    listed = urgent.agg(F.array_join(names, ", ").alias("skus")).scalar()
-    return alerts.agg(F.count("*").alias("sku_count")).select(
-        "sku_count", listed.alias("most_urgent")
-    )
+    count = alerts.agg(F.count("*").alias("n")).scalar()
+    return alerts.select("sku", "days_to_stock_out", count.alias("sku_count"))
 
 
 def inventory_turnover(

@@ -1,22 +1,23 @@
 """Join and membership helpers that stay balanced when one key holds most of the rows.
 
 Adaptive execution splits a hot key only if both join inputs come straight from a shuffle.
-Here one input is an aggregate, so hot keys are found by counting and handled apart: there
-are never many of them, since each one has at least ``hot_rows`` rows.
+Here one input is an aggregate, so keys with more than a fixed share of all rows are found by
+counting and handled apart. There are fewer than ``1 / HOT_SHARE`` of them, whatever the size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 1_000_000
+HOT_SHARE = 1 / 64
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``hot_rows`` rows; counted map-side before the shuffle."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    return [row[key] for row in counts.select(key).dropna().collect()]
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys with more than ``share`` of the rows; counted map-side before the shuffle."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = counts.agg(F.sum("_n") * share).scalar()
+    return [row[key] for row in counts.filter(F.col("_n") > limit).select(key).dropna().collect()]
 
 
 def _split(df: DataFrame, is_hot: Column) -> tuple[DataFrame, DataFrame]:
@@ -29,29 +30,32 @@ def join_unique(
     other: DataFrame,
     key: str,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    repeats: bool = False,
+    share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Left or inner join of a table that is unique on ``key`` with one that may repeat keys.
+    """Left or inner join of a table that is unique on ``key`` with another.
 
-    The rows of a hot key are dealt out over salts, and its single partner row is copied to
-    each salt. A hot key always has matches, so that part is an inner join in any case.
+    Where the caller says that ``other`` repeats keys, it is counted first: equal rows of a hot
+    key become one row with its number, these are dealt out over salts by their content, and
+    the single partner row is copied to each salt. A hot key always has matches, so that part is
+    an inner join in any case. Without repeated keys that pass is saved; the result is the same.
     """
-    found = hot_keys(other, key, hot_rows)
+    found = hot_keys(other, key, share) if repeats else []
     if not found:
         return unique.join(other, key, how)
     is_hot = F.col(key).isin(found)
     plain_unique, hot_unique = _split(unique, is_hot)
     plain_other, hot_other = _split(other, is_hot)
-    copies = hot_unique.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    )
-    dealt = hot_other.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+    copies = hot_unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = hot_other.groupBy(*other.columns).agg(F.count("*").alias("_copies"))
+    dealt = counted.withColumn("_salt", F.pmod(F.xxhash64(*other.columns), F.lit(SALTS)).cast("int"))
     spread = copies.join(dealt, [key, "_salt"]).drop("_salt")
-    return plain_unique.join(plain_other, key, how).unionByName(spread)
+    repeated = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return plain_unique.join(plain_other, key, how).unionByName(repeated.drop("_copies", "_copy"))
 
 
 def flag_members(
-    df: DataFrame, ids: DataFrame, key: str, flag: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, ids: DataFrame, key: str, flag: str, share: float = HOT_SHARE
 ) -> DataFrame:
     """Mark rows of ``df`` whose key occurs in ``ids``; hot keys are compared as constants."""
     members = ids.select(key).distinct()
@@ -60,10 +64,10 @@ def flag_members(
         marked = part.join(members.withColumn("_member", F.lit(True)), key, "left")
         return marked.withColumn(flag, F.col("_member").isNotNull()).drop("_member")
 
-    found = hot_keys(df, key, hot_rows)
+    found = hot_keys(df, key, share)
     if not found:
         return joined(df)
     is_hot = F.col(key).isin(found)
-    known = [row[key] for row in members.filter(is_hot).collect()]
+    known = [row[key] for row in members.filter(is_hot).collect()]  # no more than `found`
     plain, hot = _split(df, is_hot)
     return joined(plain).unionByName(hot.withColumn(flag, F.col(key).isin(known)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,27 +42,27 @@ def sample_rows(df: DataFrame, order: str, n: int = 5) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def usable_transaction(df: DataFrame) -> Column:
+def usable_transaction(df: DataFrame, date_formats: Sequence[str] = ()) -> Column:
     """True for rows that cleaning keeps."""
     types = {f.name: f.dataType for f in df.schema}
     keep = F.lit(True)
     for c in TRANSACTION_REQUIRED:
         value = F.col(c)
         if c == "order_datetime":
-            value = parse_timestamp(value, types[c])
+            value = parse_timestamp(value, types[c], date_formats)
         elif c == "total_amount":
             value = parse_number(value, types[c])
         keep = keep & value.isNotNull()
     return keep
 
 
-def cleaning_report(transactions: DataFrame) -> DataFrame:
+def cleaning_report(transactions: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
     """One row: rows, rows retained, their share, and exact duplicates among them.
 
     Equal rows collapse map-side before the shuffle, so a row repeated very often costs no
     more than any other.
     """
-    marked = transactions.withColumn("_usable", usable_transaction(transactions))
+    marked = transactions.withColumn("_usable", usable_transaction(transactions, date_formats))
     copies = marked.groupBy(*marked.columns).agg(F.count("*").alias("_copies"))
     kept = F.when(F.col("_usable"), F.col("_copies")).otherwise(0)
     removed = F.when(F.col("_usable"), F.col("_copies") - 1).otherwise(0)

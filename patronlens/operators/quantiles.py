@@ -43,7 +43,7 @@ class _Range:
     def value(self) -> Column:
         """The column's value inside the range, null outside."""
         v = F.col(self.column).cast("double")
-        inside = v.isNotNull()
+        inside = v.isNotNull() & ~F.isnan(v)
         if self.low is not None:
             inside = inside & (v > self.low)
         if self.high is not None:
@@ -80,7 +80,7 @@ def _narrowed(
     keys = [(r.column, cut) for r, points in cuts.items() for cut in points]
     aggregates = []
     for i, (column, cut) in enumerate(keys):
-        v = F.col(column).cast("double")
+        v = F.nanvl(F.col(column).cast("double"), F.lit(None))
         aggregates += [F.count_if(v < cut).alias(f"l{i}"), F.count_if(v <= cut).alias(f"u{i}")]
     row = df.agg(*aggregates).head()
     counts = {key: (row[f"l{i}"], row[f"u{i}"]) for i, key in enumerate(keys)}
@@ -147,11 +147,11 @@ def exact_quantiles(
 ) -> dict[str, dict[float, Quantile | None]]:
     """Quantiles ``{column: {fraction: Quantile}}``; None for a column without values.
 
-    Nulls are ignored. Pass a persisted or stored table: it is read once to count, once to
+    Nulls and NaN are ignored. Pass a persisted or stored table: it is read once to count, once to
     order, and twice per round of narrowing, of which there are none up to ``max_ordered``
     rows and two at ten billion.
     """
-    counted = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(wanted)]).head()
+    counted = df.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"n{i}") for i, c in enumerate(wanted)]).head()
     sizes = {c: counted[f"n{i}"] for i, c in enumerate(wanted)}
 
     values: dict[tuple[str, int], float] = {}

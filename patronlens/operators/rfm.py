@@ -84,14 +84,16 @@ def rfm_features(transactions: DataFrame, window: Window) -> DataFrame:
     return customer_activity(past, [window]).drop("aov")
 
 
-def with_attributes(features: DataFrame, customers: DataFrame) -> DataFrame:
+def with_attributes(
+    features: DataFrame, customers: DataFrame, repeated_ids: bool = False
+) -> DataFrame:
     """Attach the customer attributes that exist.
 
     Customers without a master record keep null attributes; a customer listed twice yields
     two rows.
     """
     kept = [c for c in CUSTOMER_ATTRIBUTES if c in customers.columns]
-    return join_unique(features, customers.select("customer_id", *kept), "customer_id")
+    return join_unique(features, customers.select("customer_id", *kept), "customer_id", repeats=repeated_ids)
 
 
 def active_customers(transactions: DataFrame, window: Window) -> DataFrame:

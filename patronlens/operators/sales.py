@@ -94,13 +94,10 @@ def visits_per_weekday(visits: DataFrame, ts: str) -> DataFrame:
 
 
 def share_by(df: DataFrame, dimension: str) -> DataFrame:
-    """Rows per value of a dimension and their share; the window runs over the groups."""
-    total = F.sum("n").over(W.partitionBy())
-    return (
-        df.groupBy(F.col(dimension).alias("name"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("share", F.col("n") / total)
-    )
+    """Rows per value of a dimension and their share."""
+    groups = df.groupBy(F.col(dimension).alias("name")).agg(F.count("*").alias("n"))
+    total = groups.agg(F.sum("n").alias("n")).scalar()
+    return groups.withColumn("share", F.col("n") / total)
 
 
 def growth(sales: DataFrame, key: str, anchor: datetime, days: int = GROWTH_DAYS) -> DataFrame:

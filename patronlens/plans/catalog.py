@@ -14,6 +14,7 @@ from patronlens.operators import (
     churn,
     clean,
     display,
+    insights as insight_rules,
     inventory,
     kpis,
     quality,
@@ -21,7 +22,7 @@ from patronlens.operators import (
     sales,
     segments as segment_rules,
 )
-from patronlens.operators.joins import flag_members
+from patronlens.operators.joins import flag_members, join_unique
 from patronlens.plans.customer_insights import CustomerInsights
 from patronlens.sources import sinks, star_schema as star
 from patronlens.sources.bundle import load_bundle
@@ -63,8 +64,13 @@ def clean_purchases(spark: SparkSession, folder: str) -> DataFrame:
 # Sources and cleaning ---------------------------------------------------------------------
 
 
-def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as the text a careless export would hold; defects follow from the key."""
+def dirty_transactions(
+    spark: SparkSession, folder: str, exported: Column | None = None
+) -> DataFrame:
+    """Orders as the text a careless export would hold; defects follow from the key.
+
+    ``exported`` selects the orders, by default all of them.
+    """
     key, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
 
     def every(n: int, value: str | None, otherwise: Column) -> Column:
@@ -72,7 +78,9 @@ def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
 
     day = F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
     amount = F.concat(F.lit(" "), text("o_totalprice"), F.lit(" "))
-    return star.table(spark, folder, "orders").select(
+    orders = star.table(spark, folder, "orders")
+    orders = orders if exported is None else orders.filter(exported)
+    return orders.select(
         every(29, "", text("o_orderkey")).alias("order_id"),
         every(23, "NA", text("o_custkey")).alias("customer_id"),
         every(11, "bad", F.concat(day, F.lit(" 10:30:00"))).alias("order_datetime"),
@@ -244,10 +252,9 @@ def aov_by_customer_events(spark, folder):
 
 def _order_values(spark, folder, *dimensions):
     bundle = clean.clean_bundle(star.orders_bundle(spark, folder))
-    return (
-        bundle.customers.select("customer_id", *dimensions)
-        .join(anova.average_order_value(bundle.transactions), "customer_id")
-    )
+    averages = anova.average_order_value(bundle.transactions)
+    attributes = bundle.customers.select("customer_id", *dimensions)
+    return join_unique(averages, attributes, "customer_id", "inner")
 
 
 @query
@@ -288,6 +295,37 @@ def test_result_tables(spark, folder):
     return rounded(anova.run_tests(bundle.customers, bundle.transactions), {"pValue": FINE})
 
 
+def spend_bands() -> dict[str, Column]:
+    """Dimensions that do differ in order value: one group holds all customers below a limit,
+    the others divide the rest by id. In the order in which they are tested."""
+    key = F.col("customer_id")
+    return {
+        f"band_{groups}_{limit}": F.when(F.col("aov") >= limit, (key % (groups - 1)).cast("string"))
+        .otherwise("low")
+        for limit in (160_000, 150_000, 140_000)
+        for groups in (7, 5, 3)
+    }
+
+
+def _banded_tests(spark, folder):
+    bands = spend_bands()
+    table = _order_values(spark, folder).withColumns(bands)
+    return anova.order_value_tests(table, *bands), [anova.order_value_test_name(b) for b in bands]
+
+
+@query
+def significant_tests(spark, folder):
+    tests, _ = _banded_tests(spark, folder)
+    return rounded(tests, {"pValue": FINE})
+
+
+@query
+def significant_insights(spark, folder):
+    """More significant tests than there is room for: the first ones in test order stay."""
+    tests, order = _banded_tests(spark, folder)
+    return insight_rules.insights(analysis(spark, folder, "orders").features, tests, order)
+
+
 # Churn ------------------------------------------------------------------------------------
 
 
@@ -524,7 +562,7 @@ def _sales(spark, folder):
 
 def _outlook(spark, folder):
     sold, latest = _sales(spark, folder)
-    return inventory.sku_outlook(star.part_inventory(spark, folder), sold, latest)
+    return inventory.sku_outlook(star.scarce_inventory(spark, folder), sold, latest)
 
 
 OUTLOOK_DIGITS = {"predicted_demand": MEAN, "days_to_stock_out": MEAN}
@@ -560,7 +598,8 @@ def reorder_alerts(spark, folder):
 
 @query
 def reorder_message(spark, folder):
-    return inventory.reorder_message(_outlook(spark, folder))
+    message = inventory.reorder_message(_outlook(spark, folder))
+    return rounded(message, {"days_to_stock_out": MEAN})
 
 
 @query
@@ -648,22 +687,18 @@ def table_preview(spark, folder):
 
 @query
 def cleaning_report(spark, folder):
-    """Dirty orders without their key column, so that equal rows do occur."""
-    dirty = dirty_transactions(spark, folder).withColumn(
-        "order_id", F.when(F.length("order_id") > 0, F.substring("order_id", 1, 2))
-    )
-    coarse = dirty.select(
-        "order_id", F.substring("customer_id", 1, 1).alias("customer_id"),
-        F.substring("order_datetime", 1, 10).alias("order_datetime"),
-        F.when(F.col("total_amount").rlike("^ "), "10").otherwise(F.col("total_amount")).alias(
-            "total_amount"
-        ),
-    )
+    """Dirty orders of which a part was exported a second time, whole rows and values."""
     return rounded(
-        quality.cleaning_report(drop_missing_tokens(coarse)), {"retained_share": FINE}
+        quality.cleaning_report(drop_missing_tokens(repeated_export(spark, folder))),
+        {"retained_share": FINE},
     )
 
 
+def repeated_export(spark: SparkSession, folder: str) -> DataFrame:
+    again = dirty_transactions(spark, folder, F.col("o_orderkey") % 37 == 0)
+    return dirty_transactions(spark, folder).unionByName(again)
+
+
 @query
 def retention_summary(spark, folder):
     orders = clean_orders(spark, folder)
@@ -682,8 +717,9 @@ def retained_orders(spark, folder):
 
 
 def _alerts(spark, folder, mapping):
-    scored = analysis(spark, folder, mapping, scorer="rule").scored
-    return rounded(alerts.churn_alerts(scored), TOP_DIGITS)
+    run = analysis(spark, folder, mapping, scorer="rule")
+    found = alerts.churn_alerts(run.scored, high_value=run.thresholds.monetary_q75)
+    return rounded(found, TOP_DIGITS)
 
 
 @query

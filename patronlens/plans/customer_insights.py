@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from datetime import date, timedelta
 from functools import cached_property
 
@@ -10,12 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 from patronlens import fixed_values as fixed
 from patronlens.operators import answers, churn, insights, kpis
 from patronlens.operators.anchor import Window, reporting_window
-from patronlens.operators.anova import order_value_tests
+from patronlens.operators.anova import (
+    DEFAULT_DIMENSIONS,
+    order_value_test_name,
+    order_value_tests,
+)
 from patronlens.operators.clean import clean_bundle
 from patronlens.operators.rfm import FEATURES, customer_activity, with_attributes
-from patronlens.operators.segments import with_segments
+from patronlens.operators.segments import Thresholds, segment_thresholds, with_segments
 from patronlens.sources.bundle import TableBundle
-from patronlens.sources.sinks import shared_folder
 
 PREVIOUS = "_previous"
 
@@ -48,7 +53,12 @@ class PeriodAnalysis:
 
     @cached_property
     def features(self) -> DataFrame:
-        return with_segments(self.base, self.window)
+        return with_segments(self.base, self.window, self.thresholds)
+
+    @cached_property
+    def thresholds(self) -> Thresholds:
+        """The segment limits, found once for all parts that need them."""
+        return segment_thresholds(self.base)
 
     @cached_property
     def model(self) -> churn.ChurnModel:
@@ -78,11 +88,13 @@ class CustomerInsights(PeriodAnalysis):
 
     The transactions are read once for the anchor (not at all if it is given) and once for
     everything else. The resulting customer-grain table feeds several passes (thresholds,
-    model, figures, lists). On a cluster it is written to the shared folder the session
-    names, so that a lost executor never costs another pass over the transactions; on one
-    machine it is persisted. ``keep`` overrides the choice. ``release`` drops persisted
-    tables; so does leaving a ``with`` block. An analysis of changed files must follow the
-    release of the old one.
+    model, figures, lists). With ``keep="memory"`` it is persisted; with ``keep="storage"`` it is
+    written to a new folder below ``folder``, by default the shared one that the session
+    names, so that a lost executor never costs another pass over the transactions. ``release``
+    drops what is kept, and so does leaving a ``with`` block. An analysis of changed files must
+    follow the release of the old one. ``date_formats`` lists date layouts besides ISO,
+    ``dimensions`` what order values are tested by, and ``repeated_ids`` says that customers are
+    listed several times, so that a customer listed very often is spread over tasks.
     """
 
     def __init__(
@@ -93,34 +105,41 @@ class CustomerInsights(PeriodAnalysis):
         scorer: str = "auto",
         model_features: tuple[str, ...] = tuple(fixed.CHURN_FEATURES),
         compare: bool = False,
-        keep: str | None = None,
+        keep: str = "memory",
+        folder: str | None = None,
+        date_formats: Sequence[str] = (),
+        dimensions: Sequence[str] = DEFAULT_DIMENSIONS,
+        repeated_ids: bool = False,
     ):
         if scorer not in ("auto", "rule"):
             raise ValueError("scorer must be 'auto' or 'rule'")
-        if keep not in (None, "memory", "storage"):
+        if keep not in ("memory", "storage"):
             raise ValueError("keep must be 'memory' or 'storage'")
-        self.bundle = clean_bundle(bundle)
+        self.bundle = clean_bundle(bundle, date_formats)
         self.days = days
+        self.dimensions = tuple(dimensions)
         self._persisted: list[DataFrame] = []
+        self._written: str | None = None
         window = reporting_window(self.bundle.transactions, days, anchor)
         windows, suffixes = [window], [""]
         if compare:
             windows.append(Window(window.anchor - timedelta(days=days), days))
             suffixes.append(PREVIOUS)
         activity = customer_activity(self.bundle.transactions, windows, suffixes)
-        table = self._kept_table(with_attributes(activity, self.bundle.customers), keep)
+        joined = with_attributes(activity, self.bundle.customers, repeated_ids)
+        table = self._keep(joined) if keep == "memory" else self._stored(joined, folder)
         super().__init__(table, window, "", scorer, model_features)
         if compare:
             self.previous = PeriodAnalysis(table, windows[1], PREVIOUS, scorer, model_features)
 
-    def _kept_table(self, df: DataFrame, keep: str | None) -> DataFrame:
+    def _stored(self, df: DataFrame, folder: str | None) -> DataFrame:
         spark = df.sparkSession
-        local = spark.conf.get("spark.master", "").startswith("local")
-        if (keep or ("memory" if local else "storage")) == "memory":
-            return self._keep(df)
-        path = shared_folder(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        base = folder or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise ValueError("name a folder, or set spark.checkpoint.dir")
+        self._written = f"{base.rstrip('/')}/patronlens-{uuid.uuid4().hex}"
+        df.write.parquet(self._written)
+        return spark.read.schema(df.schema).parquet(self._written)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self._persisted.append(df.persist())
@@ -135,11 +154,20 @@ class CustomerInsights(PeriodAnalysis):
     def release(self) -> None:
         while self._persisted:
             self._persisted.pop().unpersist()
+        if self._written:
+            context = self.base.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(self._written)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            self._written = None
 
     @cached_property
     def tests(self) -> DataFrame:
         """Few rows that several parts read, so they are computed only once."""
-        return self._keep(order_value_tests(self._table))
+        return self._keep(order_value_tests(self._table, *self.dimensions))
+
+    @property
+    def _test_order(self) -> list[str]:
+        return [order_value_test_name(d) for d in self.dimensions]
 
     @cached_property
     def segment_counts(self) -> DataFrame:
@@ -155,7 +183,7 @@ class CustomerInsights(PeriodAnalysis):
 
     @cached_property
     def insights(self) -> DataFrame:
-        return self._keep(insights.insights(self.features, self.tests))
+        return self._keep(insights.insights(self.features, self.tests, self._test_order))
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -175,7 +203,7 @@ class CustomerInsights(PeriodAnalysis):
     ) -> DataFrame:
         """Answer a table of messages; ``days`` names a column with their windows."""
         context = answers.answer_context(
-            self.base, self.window, self.facts, self.insights, self.tests
+            self.base, self.window, self.facts, self.insights, self.tests, self._test_order
         )
         return answers.answer_questions(messages, context, text, days)
 
@@ -253,11 +281,15 @@ class InsightsMemo:
     def __init__(self) -> None:
         self._runs: dict[tuple[int, date], CustomerInsights] = {}
 
-    def get(self, bundle: TableBundle, days: int = fixed.DEFAULT_DAYS) -> CustomerInsights:
-        transactions = clean_bundle(bundle).transactions
+    def get(
+        self, bundle: TableBundle, days: int = fixed.DEFAULT_DAYS, **options
+    ) -> CustomerInsights:
+        """``options`` go to the analysis; they do not take part in the memory's key."""
+        formats = options.get("date_formats", ())
+        transactions = clean_bundle(bundle, formats).transactions
         anchor = reporting_window(transactions, days).anchor.date()
         if (days, anchor) not in self._runs:
-            self._runs[days, anchor] = CustomerInsights(bundle, days, anchor)
+            self._runs[days, anchor] = CustomerInsights(bundle, days, anchor, **options)
         return self._runs[days, anchor]
 
     def clear(self) -> None:

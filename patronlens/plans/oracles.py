@@ -144,7 +144,7 @@ FACTS = """SELECT CAST(position AS INTEGER) AS position, fact FROM (
 ORDER_VALUES = f"""
   aov AS (SELECT customer_id, avg(total_amount) AS aov FROM ({ORDERS_TX}) GROUP BY 1),
   joined AS (
-    SELECT aov.aov, c.device_type, c.location
+    SELECT aov.customer_id, aov.aov, c.device_type, c.location
     FROM ({ORDERS_CUSTOMERS}) c JOIN aov ON c.customer_id = aov.customer_id)"""
 
 
@@ -173,6 +173,11 @@ def anova_ctes(tests: dict[str, str]) -> str:
     FROM r)"""
 
 
+SPEND_BANDS = {
+    f"Avg order value differs by band_{groups}_{limit}":
+        f"CASE WHEN aov >= {limit} THEN CAST(customer_id % {groups - 1} AS VARCHAR) ELSE 'low' END"
+    for limit in (160_000, 150_000, 140_000) for groups in (7, 5, 3)
+}
 DEVICE_TEST = {"Avg order value differs by device_type": "device_type"}
 
 DIRTY = """
@@ -188,7 +193,8 @@ DIRTY = """
            CASE WHEN o_orderkey % 5 = 0 THEN 'abc' ELSE CAST(o_orderkey % 9 AS VARCHAR) END
              AS quantity,
            CASE WHEN o_orderkey % 3 = 0 THEN 'TRUE' WHEN o_orderkey % 4 = 0 THEN 'True'
-                WHEN o_orderkey % 19 = 0 THEN ' TRUE ' ELSE 'no' END AS coupon_applied
+                WHEN o_orderkey % 19 = 0 THEN ' TRUE ' ELSE 'no' END AS coupon_applied,
+           o_orderkey % 37 = 0 AS repeated
     FROM orders)"""
 
 CLEAN_TRANSACTIONS = f"""WITH {DIRTY},
@@ -213,10 +219,12 @@ INVENTORY = """
   la AS (SELECT date_trunc('day', max(sold_at)) AS e FROM sold)"""
 
 OUTLOOK = f"""WITH {INVENTORY},
+  scarce AS (SELECT sku, stock_level * CASE WHEN sku % 2 = 0 THEN 0 WHEN sku % 3 = 0 THEN 1
+                                            ELSE 100 END // 100 AS stock_level FROM inv),
   daily AS (
     SELECT sku, sum(units) / 28 AS daily_units FROM sold, la
     WHERE sold_at >= e - INTERVAL 27 DAY AND sold_at < e + INTERVAL 1 DAY GROUP BY sku),
-  stk AS (SELECT sku, CAST(sum(stock_level) AS BIGINT) AS stock FROM inv GROUP BY sku),
+  stk AS (SELECT sku, CAST(sum(stock_level) AS BIGINT) AS stock FROM scarce GROUP BY sku),
   o AS (
     SELECT d.sku, daily_units * 7 AS demand, coalesce(stock, 0) AS stock,
            coalesce(stock / nullif(daily_units, 0), 0) AS days
@@ -396,6 +404,21 @@ def oracle_sql() -> dict[str, str]:
       SELECT test AS name, 'ANOVA' AS method, round(p, 6) AS "pValue",
         CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END AS result FROM t"""
 
+    banded = anova_ctes(SPEND_BANDS)
+    sql["significant_tests"] = f"""{banded}
+      SELECT test AS name, 'ANOVA' AS method, round(p, 6) AS "pValue",
+        CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END AS result FROM t"""
+    places = ", ".join(f"('{name}', {i})" for i, name in enumerate(SPEND_BANDS))
+    sql["significant_insights"] = f"""
+      WITH risk AS (WITH {feature_ctes("orders")} SELECT * FROM ({INSIGHTS})),
+      found AS ({banded} SELECT test, p FROM t WHERE p < 0.05),
+      places(test, place) AS (VALUES {places})
+      SELECT * FROM risk UNION ALL
+      SELECT 'Statistically significant pattern detected', 'info', format('{{}} (p={{:.4f}}).', test, p),
+        'Use this segment dimension when designing offers or UX changes.'
+      FROM (SELECT test, p FROM found JOIN places USING (test) ORDER BY place
+            LIMIT 6 - (SELECT count(*) FROM risk))"""
+
     sql["churn_labels"] = on_features("""SELECT customer_id, "recencyDays",
       CASE WHEN "recencyDays" >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label_churn
       FROM base""")
@@ -466,10 +489,8 @@ def oracle_sql() -> dict[str, str]:
     sql["reorder_alerts"] = f"""{OUTLOOK}
       SELECT sku, stock, predicted_demand, days_to_stock_out FROM outlook WHERE risk = 'High'"""
     sql["reorder_message"] = f"""{OUTLOOK}
-      SELECT count(*) AS sku_count, (
-        SELECT coalesce(string_agg(CAST(sku AS VARCHAR), ', ' ORDER BY days, sku), '') FROM (
-          SELECT sku, days FROM o WHERE days <= 3 ORDER BY days, sku LIMIT 3)) AS most_urgent
-      FROM o WHERE days <= 3"""
+      SELECT sku, round(days, 4) AS days_to_stock_out,
+        (SELECT count(*) FROM o WHERE days <= 3) AS sku_count FROM o WHERE days <= 3"""
     sql["inventory_turnover"] = f"""WITH {INVENTORY},
       sc AS (SELECT sum(units * p_retailprice) AS sold_cost FROM sold JOIN part ON
              sku = p_partkey, la
@@ -523,21 +544,18 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["table_preview"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 5"
     sql["cleaning_report"] = f"""WITH {DIRTY},
-      coarse AS (
-        SELECT CASE WHEN order_id <> '' THEN substr(order_id, 1, 2) END AS order_id,
-               CASE WHEN customer_id <> 'NA' THEN substr(customer_id, 1, 1) ELSE 'N' END
-                 AS customer_id,
-               substr(order_datetime, 1, 10) AS order_datetime,
-               CASE WHEN total_amount LIKE ' %' THEN '10' WHEN total_amount = 'n/a' THEN NULL
-                    ELSE total_amount END AS total_amount
-        FROM raw),
+      exported AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE repeated),
+      known AS (
+        SELECT nullif(order_id, '') AS order_id, nullif(customer_id, 'NA') AS customer_id,
+               order_datetime, nullif(total_amount, 'n/a') AS total_amount, quantity,
+               coupon_applied FROM exported),
       kept AS (
-        SELECT * FROM coarse WHERE order_id IS NOT NULL AND customer_id IS NOT NULL
+        SELECT * FROM known WHERE order_id IS NOT NULL AND customer_id IS NOT NULL
           AND try_cast(order_datetime AS TIMESTAMP) IS NOT NULL
-          AND try_cast(total_amount AS DOUBLE) IS NOT NULL)
-      SELECT (SELECT count(*) FROM coarse) AS rows_total, count(*) AS rows_retained,
+          AND try_cast(trim(total_amount) AS DOUBLE) IS NOT NULL)
+      SELECT (SELECT count(*) FROM known) AS rows_total, count(*) AS rows_retained,
         count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM kept)) AS duplicates,
-        round(count(*) / (SELECT count(*) FROM coarse), 6) AS retained_share FROM kept"""
+        round(count(*) / (SELECT count(*) FROM known), 6) AS retained_share FROM kept"""
     policies = [("3 Months", 3), ("6 Months", 6), ("1 Year", 12), ("2 Years", 24)]
     sql["retention_summary"] = f"WITH {feature_ctes('orders')} " + " UNION ALL ".join(
         [

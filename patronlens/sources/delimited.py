@@ -39,6 +39,8 @@ def read_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        # A file of the folder whose header differs is an error: its columns would be mixed up.
+        .option("enforceSchema", False)
         .csv(path)
     )
     return drop_missing_tokens(rows)

@@ -139,6 +139,13 @@ def part_inventory(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scarce_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """The same warehouses with stock run down by key: a part may be out, short or well stocked."""
+    percent = F.when(F.col("sku") % 2 == 0, 0).when(F.col("sku") % 3 == 0, 1).otherwise(100)
+    held = F.floor(F.col("stock_level") * percent / 100).cast("long")
+    return part_inventory(spark, folder).withColumn("stock_level", held)
+
+
 def line_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Units and revenue per shipped line; the sales history of the inventory reports."""
     return table(spark, folder, "lineitem").select(

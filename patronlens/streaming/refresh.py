@@ -10,7 +10,9 @@ run on the stored state unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from patronlens.functions.dates import midnight
 from patronlens.operators.clean import clean_transactions
+from patronlens.sources.delimited import drop_missing_tokens
 
 KEYS = ["customer_id", "order_id", "at_midnight", "order_day"]
 
@@ -52,6 +55,7 @@ def refresh_state(
     transactions: DataFrame,
     state: str,
     after_batch: Callable[[DataFrame, int], None] | None = None,
+    date_formats: Sequence[str] = (),
 ) -> None:
     """Process all files that have arrived since the last run, then stop.
 
@@ -65,7 +69,7 @@ def refresh_state(
             after_batch(stored_rows(batch.sparkSession, state), number)
 
     query = (
-        clean_transactions(transactions)
+        clean_transactions(drop_missing_tokens(transactions), date_formats)
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{state}/progress")
         .trigger(availableNow=True)
@@ -74,34 +78,43 @@ def refresh_state(
     query.awaitTermination()
 
 
-def _compacted_upto(spark: SparkSession, state: str) -> int:
-    """The last batch covered by a finished compaction, or -1."""
+def _note(spark: SparkSession, state: str) -> tuple[int, str] | None:
+    """The last batch covered by a finished compaction, and the schema of partial rows."""
     try:
-        done = spark.read.parquet(f"{state}/compactions")
+        done = spark.read.schema("upto bigint, schema string").parquet(f"{state}/compactions")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return -1
+            return None
         raise
-    return done.agg(F.max("upto")).head()[0]
+    row = done.agg(F.max_by(F.struct("upto", "schema"), "upto").alias("last")).head()
+    return tuple(row["last"]) if row and row["last"] else None
 
 
 def stored_rows(spark: SparkSession, state: str) -> DataFrame:
     """All partial rows; use them wherever clean transactions are expected."""
-    upto = _compacted_upto(spark, state)
-    rows = spark.read.parquet(f"{state}/rows").filter(F.col("batch") > upto).drop("batch")
-    if upto < 0:
-        return rows
-    return spark.read.parquet(f"{state}/compacted/{upto}").unionByName(rows)
-
-
-def compact_state(spark: SparkSession, state: str) -> None:
+    noted = _note(spark, state)
+    if noted is None:
+        return spark.read.parquet(f"{state}/rows").drop("batch")
+    upto, text = noted
+    # The schema is stated, as no batch may be left to take it from.
+    schema = StructType.fromJson(json.loads(text))
+    with_batch = StructType([*schema.fields]).add("batch", "long")
+    rows = spark.read.schema(with_batch).parquet(f"{state}/rows").filter(F.col("batch") > upto)
+    merged = spark.read.schema(schema).parquet(f"{state}/compacted/{upto}")
+    return merged.unionByName(rows.drop("batch"))
+
+
+def compact_state(spark: SparkSession, state: str, remove: bool = False) -> None:
     """Merge all stored batches into one table, so that reading does not slow down over time.
 
     A compaction counts only once its number has been noted, which happens last; one that
-    breaks off is simply ignored. Batches it covers may be deleted afterwards.
+    breaks off is simply ignored. ``remove`` deletes the batches it covers afterwards, and the
+    tables of compactions before it; no query on the state may be running then.
     """
-    latest = spark.read.parquet(f"{state}/rows").agg(F.max("batch")).head()[0]
-    if latest is None or latest <= _compacted_upto(spark, state):
+    noted = _note(spark, state)
+    batches = spark.read.schema("batch long").parquet(f"{state}/rows")
+    latest = batches.agg(F.max("batch")).head()[0]
+    if latest is None or (noted and latest <= noted[0]):
         return
     merged = stored_rows(spark, state).groupBy(*KEYS).agg(
         F.max("order_datetime").alias("order_datetime"),
@@ -109,5 +122,21 @@ def compact_state(spark: SparkSession, state: str) -> None:
         F.sum("row_count").alias("row_count"),
     )
     merged.write.mode("overwrite").parquet(f"{state}/compacted/{latest}")
-    note = spark.range(1).select(F.lit(latest).alias("upto"))
+    note = spark.range(1).select(
+        F.lit(latest).cast("long").alias("upto"), F.lit(merged.schema.json()).alias("schema")
+    )
     note.write.mode("append").parquet(f"{state}/compactions")
+    if remove:
+        _remove_covered(spark, state, latest)
+
+
+def _remove_covered(spark: SparkSession, state: str, upto: int) -> None:
+    """Delete stored batches up to a number, and older compactions; only folders of this state."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for pattern, first in (("rows/batch=*", 0), ("compacted/*", 1)):
+        path = hadoop.Path(f"{state}/{pattern}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(path):
+            number = found.getPath().getName().removeprefix("batch=")
+            if number.isdigit() and int(number) <= upto - first:
+                files.delete(found.getPath(), True)

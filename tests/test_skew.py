@@ -76,22 +76,29 @@ def test_joins_with_hot_keys(spark, broadcast):
     try:
         left = spark.range(100).selectExpr("id AS k", "id * 2 AS a")
         right = spark.range(900).selectExpr("IF(id < 300, 7, id) AS k", "id AS b")
-        assert hot_keys(right, "k", 100) == [7] and hot_keys(right, "k", 300) == []
-        for hot_rows in (100, 1_000_000):
-            joined = join_unique(left, right, "k", "left", hot_rows).collect()
+        assert hot_keys(right, "k", 0.3) == [7] and hot_keys(right, "k", 0.34) == []
+        for share, repeats in ((0.3, True), (0.9, True), (0.3, False)):
+            joined = join_unique(left, right, "k", "left", repeats, share).collect()
             assert sorted(r["b"] for r in joined if r["k"] == 7) == list(range(300))
             assert {r["k"] for r in joined if r["b"] is None} == set(range(100)) - {7}
             assert len(joined) == 300 + 99
-            inner = join_unique(left, right, "k", "inner", hot_rows)
+            inner = join_unique(left, right, "k", "inner", repeats, share)
             assert (inner.count(), inner.columns) == (300, ["k", "a", "b"])
             for ids, hits in ((8, 300), (7, 0)):
                 members = spark.range(ids).selectExpr("id AS k")
-                flagged = flag_members(right, members, "k", "f", hot_rows)
+                flagged = flag_members(right, members, "k", "f", share)
                 assert (flagged.filter("f").count(), flagged.count()) == (hits, 900)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_equal_rows_of_a_hot_key_all_stay(spark):
+    left = spark.range(10).selectExpr("id AS k", "id * 2 AS a")
+    right = spark.range(500).selectExpr("IF(id < 400, 3, id) AS k", "IF(id < 300, 0, id) AS b")
+    joined = join_unique(left, right, "k", "inner", repeats=True)
+    assert (joined.count(), joined.filter("b = 0").count()) == (400, 300)
+
+
 def test_duplicate_rows(spark):
     data = [("1", "a", "2024-01-01", "5")] * 400 + [("2", "a", "2024-01-01", "5")] * 2
     data += [("3", "a", "bad", "5")] * 50 + [("4", "b", "2024-01-01", "x")]

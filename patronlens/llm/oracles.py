@@ -5,6 +5,42 @@ from __future__ import annotations
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS_3 = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(LOWER.format("coalesce(text, '')"))
 
+# Smallest id reachable over the links of (a, b), each pair in both directions.
+REACHED = """
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(least(a, b)) AS low FROM reach GROUP BY a)"""
+
+OP1 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y
+          ON x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.95),
+{REACHED},
+c AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id,
+       vec_id = coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN lowest ON lowest.a = vec_id
+"""
+
+OP2 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                          ELSE w END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+common AS (SELECT e.doc_id AS a, f.doc_id AS b, e.n AS n, f.n AS m, count(*) AS c
+           FROM e JOIN e f ON e.x = f.x AND e.doc_id < f.doc_id AND 100 * least(e.n, f.n) >= 80 * greatest(e.n, f.n)
+           GROUP BY ALL),
+half AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (n + m - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+{REACHED}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id, doc_id = coalesce(low, doc_id) AS kept
+FROM s LEFT JOIN lowest ON lowest.a = doc_id
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, {WORDS_3} AS w FROM documents),
 i AS (SELECT item_id::VARCHAR AS item, {WORDS_3} AS w FROM benchmark),
@@ -41,4 +77,9 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {
+    "op1_vector_duplicates": OP1,
+    "op2_text_duplicates": OP2,
+    "op3_decontaminate": OP3,
+    "op10_url_filter": OP10,
+}

@@ -382,6 +382,26 @@ def lr_metrics(spark, folder):
     )
 
 
+def _one_input_model(spark, folder):
+    """A fit on orders of the last 90 days alone, which does not restate the label."""
+    return analysis(spark, folder, "orders", model_features=("frequency90d",))
+
+
+@query
+def lr_one_input_score(spark, folder):
+    scored = _one_input_model(spark, folder).scored_base
+    return scored.select("customer_id", F.round("churnRisk", 3).alias("churnRisk"))
+
+
+@query
+def lr_one_input_metrics(spark, folder):
+    record = _one_input_model(spark, folder).model_record
+    return record.select(
+        "type", F.array_join("features", ",").alias("features"),
+        F.round("metrics.auc", FINE).alias("auc"), F.round("metrics.accuracy", FINE).alias("accuracy"),
+    )
+
+
 @query
 def model_record_events(spark, folder):
     record = analysis(spark, folder, "events").model_record
@@ -781,6 +801,25 @@ def streaming_refresh(spark, folder):
     return rounded(found, FEATURE_DIGITS)
 
 
+@query
+def streaming_batches(spark, folder):
+    """Orders that arrive in four parts, each streamed as a batch of its own; the state is merged
+    in between and the batches it covers are removed. Customers span the parts."""
+    base = sinks.shared_folder(spark)
+    arriving, state = f"{base}/in", f"{base}/state"
+    orders = star.order_transactions(spark, folder)
+    for part in range(4):
+        chosen = orders.filter(F.col("order_id") % 4 == part)
+        chosen.write.mode("append").parquet(arriving)
+        refresh.refresh_state(refresh.transaction_stream(spark, arriving, orders.schema), state)
+        if part % 2:
+            refresh.compact_state(spark, state, remove=True)
+    rows = refresh.stored_rows(spark, state)
+    features = rfm.rfm_features(rows, anchor.reporting_window(rows))
+    values = anova.average_order_value(rows)
+    return rounded(features.join(values, "customer_id"), {**FEATURE_DIGITS, "aov": FINE})
+
+
 @query
 def csv_folder_kpis(spark, folder):
     """Customers and orders exported as CSV, loaded as a table folder and analysed."""

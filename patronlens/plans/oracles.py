@@ -339,6 +339,9 @@ def oracle_sql() -> dict[str, str]:
       FROM ({EVENTS_TX})"""
     sql["rfm_features"] = sql["streaming_refresh"] = on_features(RFM)
     sql["rfm_features_events"] = on_features(RFM, "events")
+    sql["streaming_batches"] = f"""SELECT f.*, round(v.aov, 6) AS aov FROM ({on_features(RFM)}) f
+      JOIN (SELECT customer_id, avg(total_amount) AS aov FROM ({ORDERS_TX}) GROUP BY 1) v
+        ON f.customer_id = v.customer_id"""
     sql["rfm_90d"] = on_features(
         "SELECT customer_id, frequency90d, round(monetary90d, 2) AS monetary90d FROM g"
     )
@@ -433,6 +436,38 @@ def oracle_sql() -> dict[str, str]:
       FROM (SELECT customer_id, ('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 13))::BIGINT AS draw,
         CASE WHEN "recencyDays" >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label_churn
         FROM base)""")
+    # Newton steps for an intercept and one coefficient, the penalty on the latter alone. Steps are
+    # halved while they are long, so that the start does not overshoot.
+    one_input = f"""WITH RECURSIVE {feature_ctes("orders")},
+      drawn AS (SELECT customer_id, CAST(frequency90d AS DOUBLE) AS x,
+          ('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 13))::BIGINT AS draw,
+          CASE WHEN "recencyDays" >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM base),
+      parted AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY draw)
+          <= ceil(count(*) OVER (PARTITION BY y) / 4.0) AS is_test FROM drawn),
+      train AS (SELECT x, y, count(*) AS n FROM parted WHERE NOT is_test GROUP BY x, y),
+      fit(i, a, b) AS (
+        SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+        UNION ALL
+        SELECT i + 1, a + s * (g0 * h11 - g1 * h01), b + s * (g1 * h00 - g0 * h01) FROM (
+          SELECT *, least(1.0, 1.0 / greatest(abs(g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01),
+                                              abs(g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), 1e-9))
+                    / (h00 * h11 - h01 * h01) AS s FROM (
+            SELECT i, a, b, sum(n * (y - p)) AS g0, sum(n * (y - p) * x) - b AS g1,
+                   sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01,
+                   sum(n * p * (1 - p) * x * x) + 1 AS h11
+            FROM (SELECT i, a, b, x, y, n, 1 / (1 + exp(-(a + b * x))) AS p FROM fit, train WHERE i < 60)
+            GROUP BY i, a, b))),
+      last AS (SELECT a, b FROM fit WHERE i = 60),
+      scored AS (SELECT customer_id, y, is_test, 1 / (1 + exp(-(a + b * x))) AS p FROM parted, last)"""
+    sql["lr_one_input_score"] = f"""{one_input}
+      SELECT customer_id, round(p, 3) AS "churnRisk" FROM scored"""
+    sql["lr_one_input_metrics"] = f"""{one_input},
+      ranked AS (SELECT y, p, (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p)::DOUBLE / 2 - 0.5) AS r
+                 FROM scored WHERE is_test)
+      SELECT 'logistic_regression' AS type, 'frequency90d' AS features,
+        round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2)
+              / (sum(y) * (count(*) - sum(y))), 6) AS auc,
+        round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM ranked"""
     sql["model_record_events"] = """SELECT 'rule_only' AS type,
       'churned if recencyDays >= 60' AS "labelRule",
       'recencyDays,frequency90d,monetary90d' AS features, CAST(NULL AS DOUBLE) AS auc,

@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not _all_stars(current):
         both = current.unionByName(current.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b"))
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(parent, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         current = stored(moved.unionByName(parent.select("a", F.col("m").alias("b"))).distinct())

@@ -25,6 +25,7 @@ components. No rows give no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ PERCENT = 80
 TREES = 12
 STEP = 3
 ROUNDS = 5
-SMALL = 48
+SMALL = 1024
 BLOCK = 512
 POSITIONS = 64
 SEED = 97
@@ -166,13 +167,13 @@ class _Join:
 
     def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
         self.docs, self.words, self.percent = docs, words, percent
-        self.links: DataFrame | None = None
+        self.new: list[DataFrame] = []  # links that the components do not know yet
         self.components: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs that hold on the full sets, and finds the components anew."""
+        """Adds the pairs that hold on the full sets to the links."""
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ids = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct())
+        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
         count = ids.count()
         if not count:
             return
@@ -202,11 +203,20 @@ class _Join:
         held = both.select("a", "b", common.alias("c"), (F.size("set_a") + F.size("set_b")).alias("total")).where(
             100 * F.col("c") >= self.percent * (F.col("total") - F.col("c"))
         )
-        links = held.select("a", "b")
+        self.new.append(stored(held.select("a", "b")))
+
+    def links(self) -> DataFrame | None:
+        """Links with the same components as all confirmed so far: each class hangs on its component."""
+        parts = list(self.new)
         if self.components is not None:
-            # What is joined already stays so: each class hangs on its component.
-            links = links.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.components = stored(connected_components(links))
+            parts.append(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def join(self) -> None:
+        """Finds the components anew if there are new links."""
+        if self.new:
+            self.components = stored(connected_components(self.links()))
+            self.new = []
 
     def labelled(self, members: DataFrame) -> DataFrame:
         if self.components is None:
@@ -257,6 +267,7 @@ def near_duplicates(
         crowded = stored(_crowded(join.labelled(frontier)))
         pivot = crowded.where("rep != first.rep").where(_alike(percent))
         join.confirm(pivot.select(F.col("rep").alias("a"), F.col("first.rep").alias("b")))
+        join.join()
         rest = join.labelled(crowded.drop("component", "size", "first"))
         rest = stored(_crowded(rest).drop("first"))
         small = rest if last else rest.where(F.col("size") <= SMALL)
@@ -272,8 +283,8 @@ def near_duplicates(
     same = (F.col("print_a") == F.col("of_a")) & (F.col("print_b") == F.col("of_b"))
     several = usable.groupBy("id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).where("low < high")
     ties = usable.join(several.select("id"), "id").join(by_print, same).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    if join.components is not None:
-        ties = ties.unionByName(join.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    links = join.links()
+    ties = ties if links is None else ties.unionByName(links)
     final = connected_components(ties)
     with_class = rows.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print_a")).alias("print_a"), "print_b").join(by_print, same, "left")
     return with_class.join(final, F.col("rep") == F.col("node"), "left").select(

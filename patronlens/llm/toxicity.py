@@ -64,7 +64,7 @@ def entries_of(words: set[str]) -> set[str]:
     """What a document gives to the lexicon: its words, and how its words begin."""
     found = {f" {w} " for w in words}
     for n in BEGINNINGS:
-        found.update([f" {w[:n]}" for w in words if len(w) > n])
+        found.update([f" {w[:n]}" for w in words if len(w) >= n])
     return found
 
 
@@ -150,7 +150,8 @@ def _weights(entries: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic:
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     # A lower bound of the log odds, so that rare entries count for less.
     sure = odds - 1.64 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)).clip(0, 2)
-    good = np.flatnonzero((toxic >= 3) & (sure > 0.7))
+    # Copies of one toxic document give its rare words a few counts; with more labels, more are asked for.
+    good = np.flatnonzero((toxic >= max(3, 0.004 * n_toxic)) & (sure > 1.5))
     order = good[np.argsort(-sure[good], kind="stable")][:MAX_ENTRIES]
     return {entries[i]: float(sure[i]) for i in order}
 

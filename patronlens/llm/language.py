@@ -15,7 +15,7 @@ first in order. Rows are judged each for itself, so repeated rows agree. Other c
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -99,26 +99,30 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, key, n) of words and n-grams: partial counts, given out before they grow large."""
-    counts: defaultdict[tuple[str, str], int] = defaultdict(int)
+    words: defaultdict[str, Counter[str]] = defaultdict(Counter)
 
     def out() -> pa.RecordBatch:
-        keys = list(counts)
+        langs, keys, numbers = [], [], []
+        for lang, own in words.items():
+            counts = Counter(own)
+            for word, n in own.items():  # each distinct word is taken apart once
+                for size in range(1, LONGEST + 1):
+                    for gram in grams_of(word, size):
+                        counts[f"{size}:{gram}"] += n
+            langs += [lang] * len(counts)
+            keys += counts.keys()
+            numbers += counts.values()
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array(list(counts.values()), pa.int64())],
+            [pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(numbers, pa.int64())],
             names=["lang", "key", "n"],
         )
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            for word in words_of(text):
-                counts[lang, word] += 1
-                for n in range(1, LONGEST + 1):
-                    for gram in grams_of(word, n):
-                        counts[lang, f"{n}:{gram}"] += 1
-            if len(counts) > 300_000:
+            words[lang].update(words_of(text))
+            if sum(map(len, words.values())) > 60_000:
                 yield out()
-                counts.clear()
+                words.clear()
     yield out()
 
 

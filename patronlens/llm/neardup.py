@@ -7,7 +7,7 @@ from its own values alone, so `step` levels are expanded at once without moving
 
 Texts with equal sets are one class from the start. In every round nodes with one class or one
 component are dropped; in the others
-  1. the first class of the node is compared with all others, and links are confirmed on the full
+  1. a few classes of the node are compared with all others, and links are confirmed on the full
      sets; this joins large groups of near copies by a number of pairs that is linear in them;
   2. nodes of up to `small` classes compare all pairs that are not yet in one component;
   3. larger nodes branch further. At the last level they are compared in blocks.
@@ -43,6 +43,8 @@ TREES = 12
 STEP = 3
 ROUNDS = 5
 SMALL = 1024
+#: Classes of a node that all its others are compared with first.
+PIVOTS = 3
 BLOCK = 512
 POSITIONS = 64
 SEED = 97
@@ -120,7 +122,7 @@ def least_agreement(percent: int) -> int:
 
 
 def _alike(percent: int) -> Column:
-    """Whether sizes and sketches of a member and its node's first class allow the similarity."""
+    """Whether sizes and sketches of a member and a pivot of its node allow the similarity."""
     return F.expr(
         f"100 * least(n, first.n) >= {percent} * greatest(n, first.n)"
         f" AND bit_count((low ^ first.low) | (high ^ first.high)) <= {POSITIONS - least_agreement(percent)}"
@@ -227,13 +229,22 @@ class _Join:
 
 
 def _crowded(members: DataFrame) -> DataFrame:
-    """members of nodes with more than one component, with the node's size and first class."""
+    """members of nodes with more than one component, with the node's size and pivots."""
     nodes = members.groupBy("node").agg(
         F.count("*").alias("size"),
         F.min("component").alias("low"),
         F.max("component").alias("high"),
-        F.min(F.struct("rep", "n", "low", "high")).alias("first"),
-    ).where("low < high").select(F.col("node").alias("of_node"), "size", "first")
+        *[
+            # The order by hash is the same in all nodes, so nodes share their pivots.
+            F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), "rep", "n", "low", "high")).alias(f"p{k}")
+            for k in range(PIVOTS)
+        ],
+    ).where("low < high").select(
+        F.col("node").alias("of_node"), "size",
+        F.array_distinct(F.array(*[
+            F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("rep", "n", "low", "high")]) for k in range(PIVOTS)
+        ])).alias("pivots"),
+    )
     return members.join(nodes, F.col("node") == F.col("of_node")).drop("of_node")
 
 
@@ -265,11 +276,12 @@ def near_duplicates(
     for round_no in range(ROUNDS):
         last = round_no == ROUNDS - 1
         crowded = stored(_crowded(join.labelled(frontier)))
-        pivot = crowded.where("rep != first.rep").where(_alike(percent))
+        tried = crowded.select("rep", "n", "low", "high", F.explode("pivots").alias("first"))
+        pivot = tried.where("rep != first.rep").where(_alike(percent))
         join.confirm(pivot.select(F.col("rep").alias("a"), F.col("first.rep").alias("b")))
         join.join()
-        rest = join.labelled(crowded.drop("component", "size", "first"))
-        rest = stored(_crowded(rest).drop("first"))
+        rest = join.labelled(crowded.drop("component", "size", "pivots"))
+        rest = stored(_crowded(rest).drop("pivots"))
         small = rest if last else rest.where(F.col("size") <= SMALL)
         blocks = in_blocks(small.drop("size"), "node", "rep", BLOCK)
         join.confirm(blocks.mapInArrow(_small_pairs(percent), "a long, b long"))

@@ -167,16 +167,23 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps for a few features."""
+    """Newton steps for a few features, halved until the penalised loss falls."""
     x = np.column_stack([np.ones(len(x)), x])
+    penalty = np.diag([1e-4] + [ridge] * (x.shape[1] - 1))
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, x @ b).sum() - y @ (x @ b) + b @ penalty @ b / 2)
+
     b = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(60):
+    now = loss(b)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (y - p) - penalty @ b)
-        b += step
-        if np.abs(step).max() < 1e-9:
+        while np.abs(step).max() > 1e-9 and not loss(b + step) < now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
             break
+        b, now = b + step, loss(b + step)
     return b
 
 

@@ -10,12 +10,14 @@ component are dropped; in the others
   1. a few classes of the node are compared with all others, and links are confirmed on the full
      sets; this joins large groups of near copies by a number of pairs that is linear in them;
   2. nodes of up to `small` classes compare all pairs that are not yet in one component;
-  3. larger nodes branch further. At the last level they are compared in blocks.
+  3. larger nodes branch further, each with several independent trees of its own, as pairs die out
+     on the way down a single one. At the last level they are compared in blocks.
 Candidates are screened by two bits of each minwise value before the full sets are read; only sets of
 documents in a candidate are made again from the text.
 
-The number of trees is set so that two sets at exactly the threshold share a leaf with a
-probability of more than 0.999; further levels only happen in crowded nodes.
+The numbers of trees are set so that two sets at exactly the threshold (0.8) share a node with a
+probability of more than 0.999 at every level, down to the last (`recall` gives it). Further
+levels only happen in crowded nodes.
 
 Defined results: a text without words, or null, has an empty set and links with nothing, and
 neither does a row with null id; both are kept. Rows that share an id are one vertex for
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ TREES = 12
 STEP = 3
 ROUNDS = 5
 SMALL = 1024
+#: Pairs at the threshold should share a node of the last level at least this often.
+RECALL = 0.999
 #: Classes of a node that all its others are compared with first.
 PIVOTS = 3
 BLOCK = 512
@@ -74,8 +79,37 @@ def _signatures(words: int):
     return signed
 
 
+def recall(percent: int, trees: int, again: int, rounds: int) -> float:
+    """How often a pair at the threshold shares a node after so many rounds of STEP levels.
+
+    The two agree in a binomial number of their minwise values. Given that number, the nodes they
+    share are a branching process, whose extinction is computed from the last level up.
+    """
+    often, found = min(1.0, 100 / percent - 1), 0.0
+    for agreeing in range(POSITIONS + 1):
+        one = agreeing / POSITIONS
+        both = one * (agreeing - 1) / (POSITIONS - 1)
+        lost = 0.0
+        for round_no in range(rounds):
+            lost = lost**again if round_no else lost
+            for _ in range(STEP):
+                two = (1 - 2 * one + both) + 2 * (one - both) * lost + both * lost**2
+                lost = (1 - often) * (1 - one + one * lost) + often * two
+        chance = comb(POSITIONS, agreeing) * (percent / 100) ** agreeing * (1 - percent / 100) ** (POSITIONS - agreeing)
+        found += chance * (1 - lost**trees)
+    return found
+
+
+def trees_again(percent: int, trees: int, rounds: int = ROUNDS) -> int:
+    """Trees that a crowded node needs for RECALL at the last level; as many as at the start at most."""
+    return next((k for k in range(1, trees) if recall(percent, trees, k, rounds) >= RECALL), trees)
+
+
 def _expand(step: int, trees: int, percent: int):
-    """Rows of (node or none, rep, n, signature) to the nodes `step` levels further down."""
+    """Rows of (node or none, rep, n, signature) to the nodes `step` levels further down.
+
+    `trees` trees begin at each node, or at the common root if there is none.
+    """
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.uint64(min((1 << 32) - 1, int((100 / percent - 1) * (1 << 32))))
@@ -86,10 +120,11 @@ def _expand(step: int, trees: int, percent: int):
                 signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32)
                 signature = signature.reshape(-1, POSITIONS)
                 if "node" in batch.schema.names:
-                    node = batch.column("node").to_numpy().view(np.uint64)
-                    row = np.arange(batch.num_rows)
+                    above = batch.column("node").to_numpy().view(np.uint64)
                 else:
-                    node, row = np.tile(roots, batch.num_rows), np.repeat(np.arange(batch.num_rows), trees)
+                    above = np.zeros(batch.num_rows, np.uint64)
+                row = np.repeat(np.arange(batch.num_rows), trees)
+                node = np.tile(roots, batch.num_rows) ^ above[row]
                 with np.errstate(over="ignore"):
                     for _ in range(step):
                         choice = mixed(node ^ np.uint64(0xD1B54A32D192ED03))
@@ -273,6 +308,7 @@ def near_duplicates(
     join = _Join(texts.where(F.col("id").isNotNull()), words, percent)
     reps = classes.select("rep", "n", "signature")
     frontier = reps.mapInArrow(_expand(STEP, trees, percent), _MEMBERS)
+    again = trees_again(percent, trees)
     for round_no in range(ROUNDS):
         last = round_no == ROUNDS - 1
         crowded = stored(_crowded(join.labelled(frontier)))
@@ -289,7 +325,7 @@ def near_duplicates(
         if last or large.isEmpty():
             break
         deeper = large.select("node", "rep", "n").join(reps.select(F.col("rep").alias("of"), "signature"), F.col("rep") == F.col("of"))
-        frontier = deeper.select("node", "rep", "n", "signature").mapInArrow(_expand(STEP, trees, percent), _MEMBERS)
+        frontier = deeper.select("node", "rep", "n", "signature").mapInArrow(_expand(STEP, again, percent), _MEMBERS)
     # An id with several texts ties their classes together.
     by_print = classes.select(F.col("print_a").alias("of_a"), F.col("print_b").alias("of_b"), "rep")
     same = (F.col("print_a") == F.col("of_a")) & (F.col("print_b") == F.col("of_b"))

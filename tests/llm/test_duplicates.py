@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edge import TEXTS, components, documents
@@ -85,6 +86,39 @@ def test_crowded_nodes_branch_and_lose_nothing(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == plain_groups(rows, 2)
 
 
+def shared_by_level(signatures, pairs, rounds):
+    """Share of the pairs (2k, 2k + 1) that are together in some node after each round, if all nodes branch on."""
+    again = getattr(neardup, "trees_again", lambda percent, trees: trees)(80, neardup.TREES)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(2 * pairs)), pa.array([9] * (2 * pairs)), pa.array([s.tobytes() for s in signatures])],
+        names=["rep", "n", "signature"],
+    )
+    shares = []
+    for round_no in range(rounds):
+        expand = neardup._expand(neardup.STEP, again if round_no else neardup.TREES, 80)
+        found = pa.Table.from_batches(expand([rows])).select(["node", "rep"]).to_pandas().drop_duplicates()
+        found = found[found.duplicated("node", keep=False)]  # alone in a node: nothing more to find
+        shares.append(found["rep"].nunique() / (2 * pairs))
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array(found["node"].to_numpy()), pa.array(found["rep"].to_numpy()), pa.array([9] * len(found)),
+             pa.array([signatures[i].tobytes() for i in found["rep"]])],
+            names=["node", "rep", "n", "signature"],
+        )
+    return shares
+
+
+def test_pairs_at_the_threshold_stay_together_to_the_last_level():
+    pairs = 500
+    rng = np.random.default_rng(4)
+    signatures = rng.integers(0, 1 << 32, (2 * pairs, neardup.POSITIONS)).astype(np.uint32)
+    signatures[1::2] = np.where(rng.random((pairs, neardup.POSITIONS)) < 0.8, signatures[::2], signatures[1::2])
+    shares = shared_by_level(signatures, pairs, neardup.ROUNDS)
+    assert min(shares) > 0.99, shares
+    assert neardup.recall(80, neardup.TREES, neardup.trees_again(80, neardup.TREES), neardup.ROUNDS) >= 0.999
+    # One tree a crowded node would lose them.
+    assert neardup.recall(80, neardup.TREES, 1, neardup.ROUNDS) < 0.94
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(documents(spark, [])).collect() == []
 

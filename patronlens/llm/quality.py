@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from patronlens.llm.labelled import training_texts
+from patronlens.llm.labelled import metadata_of, training_texts
 
 MAX_LABELLED = 12_000
 WORD_BUCKETS = 1 << 16
@@ -158,13 +158,14 @@ def train(
     max_labelled: int = MAX_LABELLED,
     parts: int = 4,
     rest: int = 2,
+    metadata_cols: Sequence[str] = (),
 ) -> Machine:
     """The machine, from labels of documents whose crc32 of the id mod parts is not rest."""
-    sample = training_texts(docs, labels, label_col, max_labelled, parts, rest, id_col, text_col)
+    sample = training_texts(docs, labels, label_col, max_labelled, parts, rest, id_col, text_col, metadata_cols)
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t, []) for t in batch.column("text").to_pylist()]
+            rows = [features(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("metadata").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.string()), batch.column("label"),
                  pa.array([i.astype("<u4").tobytes() for i, _ in rows], pa.binary()),
@@ -178,22 +179,30 @@ def train(
         (np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64))
         for i, v in zip(found["index"], found["value"])
     ]
-    return fit(rows, (found["label"].to_numpy() > 0).astype(np.float64), n_features(0))
+    return fit(rows, (found["label"].to_numpy() > 0).astype(np.float64), n_features(len(metadata_cols)))
 
 
-def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, score."""
+def score_documents(
+    docs: DataFrame,
+    machine: Machine,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    metadata_cols: Sequence[str] = (),
+) -> DataFrame:
+    """One row per document: doc_id, score. metadata_cols are those of the training, in the same order."""
+    if len(machine.weights) != n_features(len(metadata_cols)):
+        raise ValueError(f"the machine was not fitted with {len(metadata_cols)} metadata columns")
     schema = StructType().add("doc_id", docs.schema[id_col].dataType).add("score", "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, metadata = batch.column("text").to_pylist(), batch.column("metadata").to_pylist()
             scores = [
-                machine.score(texts[i : i + GROUP], [[]] * len(texts[i : i + GROUP])) for i in range(0, len(texts), GROUP)
+                machine.score(texts[i : i + GROUP], metadata[i : i + GROUP]) for i in range(0, len(texts), GROUP)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.concatenate([*scores, np.empty(0)]))], names=schema.names
             )
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), metadata_of(metadata_cols))
     return texts.mapInArrow(judge, schema)

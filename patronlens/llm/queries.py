@@ -44,9 +44,9 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    machine = quality.train(docs, table(spark, folder, "labels"))
-    return quality.score_documents(docs, machine).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, table(spark, folder, "labels"), metadata_cols=["n_chars"])
+    return quality.score_documents(docs, machine, metadata_cols=["n_chars"]).select(
         "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )

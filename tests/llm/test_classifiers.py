@@ -84,6 +84,16 @@ def test_quality_reads_metadata():
     assert index.max() < quality.n_features(2) and len(index) == 2 + quality.STATISTICS + 2
 
 
+def test_quality_is_fitted_and_applied_with_metadata(spark):
+    """Texts say nothing; a metadata column decides."""
+    rows = [(i, "same text", 100_000.0 if i % 3 else None) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size double")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(240)], "doc_id long, quality int")
+    machine = quality.train(docs, labels, metadata_cols=["size"])
+    found = quality.score_documents(docs, machine, metadata_cols=["size"]).collect()
+    assert len(found) == 240 and all((r.score >= 0.7) == (r.doc_id % 3 > 0) for r in found)
+
+
 SYLLABLES = {"aa": ["ka", "lo", "mi", "ne"], "bb": ["stra", "pfen", "zu", "ich"], "cc": ["eau", "oux", "é", "ç"]}
 
 

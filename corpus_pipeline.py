@@ -22,12 +22,23 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; repeated rows leave one."""
+    """The document with the smallest id of each group of near copies; repeated rows leave one.
+
+    Rows that share an id are kept or dropped together. Of those kept, rows with equal sets of shingles
+    leave the one that comes first as JSON text; rows with different sets all stay.
+    """
     found = neardup.near_duplicates(docs)
     other = fresh(docs.columns, "kept_id")
     kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(other)).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col(other), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    named = docs.join(kept, F.col("doc_id") == F.col(other), "left_semi")
+    again = docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1")
+    again = again.select(F.col("doc_id").alias(other))
+    once = named.join(again, F.col("doc_id") == F.col(other), "left_anti")
+    row, shown = F.struct(*docs.columns), fresh(docs.columns, "print")
+    several = neardup.with_print(named.join(again, F.col("doc_id") == F.col(other), "left_semi"), shown)
+    one = several.select("doc_id", F.col(shown).alias("print"), row.alias("row"), F.to_json(row).alias("rank"))
+    one = one.groupBy("doc_id", "print").agg(F.min_by("row", "rank").alias("row")).select("row.*")
+    return once.unionByName(one).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

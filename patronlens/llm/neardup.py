@@ -79,6 +79,20 @@ def _signatures(words: int):
     return signed
 
 
+def with_print(docs: DataFrame, name: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """docs with the fingerprint of each text's set of shingles."""
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, GROUP):
+                batch = whole.slice(first, GROUP)
+                sets = shingle_sets(batch.column(text_col).to_pylist(), words)
+                prints = pa.array(["%d %d" % fingerprint(s) for s in sets], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(printed, StructType([*docs.schema.fields]).add(name, "string"))
+
+
 def recall(percent: int, trees: int, again: int, rounds: int) -> float:
     """How often a pair at the threshold shares a node after so many rounds of STEP levels.
 

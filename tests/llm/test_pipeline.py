@@ -64,6 +64,16 @@ def test_stages_keep_other_columns_and_odd_rows(spark, small_data):
         assert docs_out.where("doc_id IS NULL").count() == 1, name
 
 
+def test_rows_that_share_an_id_but_not_their_text_all_stay(spark):
+    one, two = "a clean text that resembles nothing else in the whole table", "quite another one about the sea and ships"
+    rows = [(1, one), (1, two), (1, two.upper()), (1, two), (2, one), (3, "some third text that stands alone here"), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', text) AS print")
+    found = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert found.columns == docs.columns
+    wanted = [(1, one), (1, two.upper()), (3, rows[5][1]), (None, one)]
+    assert sorted((str(r.doc_id), r.text) for r in found.collect()) == sorted((str(i), t) for i, t in wanted)
+
+
 def test_whole_run(spark, small_data):
     assert corpus_pipeline.run(spark, small_data).count() > 100
 

@@ -130,6 +130,14 @@ def test_base_spans_match_plain_search(spark):
     assert spans[56] == "" and spans[4] == ""
 
 
+def test_long_addresses_are_selected_beside_the_base_forms(spark):
+    rows = [(1, "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 is up"), (2, "at fe80:1:2:3:4:5:6:ABCD, or 1.2.3.4")]
+    rows += [(3, "not 12001:db8:1:2:3:4:5:6 nor 00:1b:44:11:3a:b7")]
+    found = {r.id: r for r in pii.report(documents(spark, rows)).collect()}
+    assert found[1].spans == "ip:5:44" and "ip:29:36" in found[2].spans and found[3].spans == ""
+    assert [found[i].n_ip for i in (1, 2, 3)] == [0, 1, 0]  # base forms alone
+
+
 def test_redacted_texts(spark):
     rows = [*enumerate(PERSONAL), (7, None), (8, ""), (None, PERSONAL[1])]
     docs = documents(spark, rows, "pii_spans pii_id")

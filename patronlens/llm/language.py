@@ -5,7 +5,8 @@ known is scored by its longest character n-grams of which one is known. The lang
 scores add up over the words of the whole text; a tempered softmax gives the score.
 
 The sample to learn from is bounded: about `per_language` documents of each language, chosen by
-hash of the id, and at most `max_words` words and `max_grams` n-grams, the most frequent ones.
+hash of the id. Each language brings its most frequent words and n-grams, an equal share of `max_words`
+and `max_grams` but never under LEAST_EACH. Over MAX_LANGUAGES languages are an error.
 
 Defined results: `und` with score 0 for a null text and one without letters, and if nothing
 could be learned. Documents with null lang teach nothing. Ties go to the language that comes
@@ -21,14 +22,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from patronlens.llm.common import held_out, stored
 
 PER_LANGUAGE = 3_000
+#: More are an error, as the table of scores has a column for each.
 MAX_LANGUAGES = 500
+#: Words, and n-grams, of each language at least, if it has them.
+LEAST_EACH = 500
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
 LONGEST = 5
@@ -139,8 +143,10 @@ def train(
 ) -> Model:
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), parts, rest))
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n"))
     rates = stored(sizes.select(F.col("lang").alias("of"), (F.lit(float(per_language)) / F.col("n")).alias("rate")))
+    if (n_languages := rates.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{n_languages} languages; the model has room for {MAX_LANGUAGES}")
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = own.join(F.broadcast(rates), F.col("lang") == F.col("of")).where(share < F.col("rate"))
     counted = stored(
@@ -158,9 +164,12 @@ def train(
     by_key = counted.groupBy("key").agg(
         F.sum("n").alias("n"), F.collect_list(F.struct("lang", F.col("n").alias("c"))).alias("langs")
     )
+    rank = F.row_number().over(Window.partitionBy("lang", gram).orderBy(F.desc("n"), "key"))
+    each = [max(most // len(languages), LEAST_EACH) for most in (max_words, max_grams)]
+    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= F.when(gram, each[1]).otherwise(each[0]))
     top = [
-        by_key.where(condition).orderBy(F.desc("n"), "key").limit(most)
-        for condition, most in ((~gram, max_words), (gram, max_grams))
+        by_key.join(ranked.select("key").distinct(), "key", "left_semi").where(condition).orderBy(F.desc("n"), "key")
+        for condition in (~gram, gram)
     ]
     size = {(r["lang"], r["level"]): r["n"] for r in totals}
     levels = [str(n) for n in range(LONGEST + 1)]

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from edge import documents
 from patronlens.llm import language, quality, toxicity
 
@@ -115,6 +117,22 @@ def test_language_on_held_out(spark):
     assert model.judge("pfenpfenzuzuichstra")[0] == "bb"
 
 
+def test_rare_languages_keep_words_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(language, "LEAST_EACH", 40, raising=False)
+    common = [f"{a}{b}e" for a in "abdfgk" for b in "lmnrst"]
+    rare = ["qwox", "xiwuq", "wyqz", "zuxwy"]
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(common, k=30)), "aa") for i in range(200)]
+    rows += [(1000 + i, " ".join(rng.choices(rare, k=3)), "zz") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, max_words=30, max_grams=30)
+    assert set(rare) <= set(model.index)
+    assert model.judge("qwox wyqz")[0] == "zz" and model.judge("ale bne")[0] == "aa"
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language.train(docs)
+
+
 def test_language_without_training_texts(spark):
     model = language.train(documents(spark))
     assert {r.lang_pred for r in language.predict(documents(spark), model).collect()} == {"und"}

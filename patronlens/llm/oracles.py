@@ -77,9 +77,21 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (page_id)
 """
 
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP12 = f"""
+WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) AS nr, unnest(parts) AS line
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+k AS (SELECT *, {LOWER.format(f"trim(line, {SPACE})")} AS key FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN o.key IS NULL THEN line END, chr(10) ORDER BY nr), '')) AS kept_sha256
+FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_vector_duplicates": OP1,
     "op2_text_duplicates": OP2,
     "op3_decontaminate": OP3,
     "op10_url_filter": OP10,
+    "op12_line_dedup": OP12,
 }

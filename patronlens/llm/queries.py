@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, language, neardup, pack, pii, quality, rans, toxicity, urls, vectors
+from patronlens.llm import decontaminate, language, lines, neardup, pack, pii, quality, rans, toxicity, urls, vectors
 from patronlens.llm.common import held_out, table
 from patronlens.sources.sinks import shared_folder
 
@@ -79,6 +79,14 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = lines.insert(lines.empty_index(spark), docs)
+    return lines.drop_repeated_lines(docs, index, known=True).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_vector_duplicates": op1_vector_duplicates,
     "op2_text_duplicates": op2_text_duplicates,
@@ -90,4 +98,5 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op12_line_dedup": op12_line_dedup,
 }

@@ -88,10 +88,43 @@ SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
 FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
 """
 
+# crc32 of a decimal number, bit by bit.
+CRC32 = """xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda crc, byte:
+  list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), 4294967295), 4294967295)"""
+OP13 = rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, md5(length(role) || ':' || role || text) AS content, words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS k
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT c, {CRC32} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c, content, words, row_number() OVER (PARTITION BY c ORDER BY own, k) AS d
+      FROM (SELECT convs.c, content, words, k, 0 AS own FROM convs JOIN t ON t.c = convs.c - convs.c % 20 AND k <= h
+            UNION ALL SELECT convs.c, content, words, k, 1 FROM convs JOIN t ON t.c = convs.c AND k > h)),
+p(c, d, name, words) AS (
+  SELECT c, 0::BIGINT, 'root', 0::BIGINT FROM convs
+  UNION ALL SELECT p.c, r.d, md5(p.name || r.content), r.words FROM p JOIN r ON r.c = p.c AND r.d = p.d + 1),
+n AS (SELECT d, name, min(c) AS conv, count(*) AS n, any_value(words) AS words FROM p GROUP BY d, name),
+up AS (SELECT n.*, above.name AS above FROM n LEFT JOIN p above ON above.c = n.conv AND above.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, above AS name, count(*) AS kids FROM up WHERE d > 0 GROUP BY ALL),
+subtree AS (SELECT p.d, p.name, sum((v.n - 1) * v.words) AS saved, count(*) FILTER (kids IS NULL) AS leaves
+            FROM n v LEFT JOIN kids ON kids.d = v.d AND kids.name = v.name JOIN p ON p.c = v.conv AND p.d <= v.d
+            GROUP BY p.d, p.name),
+ends AS (SELECT d, name, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+         FROM p JOIN (SELECT c, max(d) AS d FROM p GROUP BY c) USING (c, d) GROUP BY d, name)
+SELECT up.conv AS conv_id, up.d AS depth, parent.conv AS parent_conv_id, up.n AS n_convs,
+       coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM up JOIN subtree USING (d, name) LEFT JOIN kids USING (d, name) LEFT JOIN ends USING (d, name)
+LEFT JOIN n parent ON parent.d = up.d - 1 AND parent.name = up.above
+"""
+
 ORACLES: dict[str, str] = {
     "op1_vector_duplicates": OP1,
     "op2_text_duplicates": OP2,
     "op3_decontaminate": OP3,
     "op10_url_filter": OP10,
     "op12_line_dedup": OP12,
+    "op13_conversation_trie": OP13,
 }

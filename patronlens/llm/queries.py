@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, language, lines, neardup, pack, pii, quality, rans, toxicity, urls, vectors
+from patronlens.llm import decontaminate, language, lines, neardup, pack, pii, quality, rans, toxicity, trie, urls, vectors
 from patronlens.llm.common import held_out, table
 from patronlens.sources.sinks import shared_folder
 
@@ -87,6 +87,12 @@ def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.turns(table(spark, folder, "conversations"))
+    taken = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return trie.prefix_trie(turns, trie.with_base_prefix(turns, 20, taken, 3)).drop("name")
+
+
 QUERIES: dict[str, Query] = {
     "op1_vector_duplicates": op1_vector_duplicates,
     "op2_text_duplicates": op2_text_duplicates,
@@ -99,4 +105,5 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
     "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }

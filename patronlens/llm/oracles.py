@@ -77,6 +77,30 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (page_id)
 """
 
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+lt AS (SELECT lang, term, count(*) AS l FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+langs AS (SELECT lang, sum(l) AS nl, count(*) AS v FROM lt GROUP BY lang),
+g AS (SELECT lang, source, term, count(*) AS c FROM t JOIN lt USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(n, 0) AS n
+           FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM g GROUP BY ALL) USING (lang, source)),
+full_g AS (SELECT lang, source, term, coalesce(c, 0) AS c, l,
+                  (1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (n + 2 * v))::BIGINT AS p,
+                  (1 + (1000000000::HUGEINT * (l + 2)) // (nl + 2 * v))::BIGINT AS q
+           FROM groups JOIN lt USING (lang) JOIN langs USING (lang) LEFT JOIN g USING (lang, source, term)),
+pair AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+         FROM full_g x JOIN full_g y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM full_g WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP12 = f"""
 WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) AS nr, unnest(parts) AS line
@@ -125,6 +149,7 @@ ORACLES: dict[str, str] = {
     "op2_text_duplicates": OP2,
     "op3_decontaminate": OP3,
     "op10_url_filter": OP10,
+    "op11_source_divergence": OP11,
     "op12_line_dedup": OP12,
     "op13_conversation_trie": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronlens.llm import decontaminate, language, lines, neardup, pack, pii, quality, rans, toxicity, trie, urls, vectors
+from patronlens.llm import decontaminate, divergence, language, lines, neardup, pack, pii, quality, rans, toxicity, trie, urls, vectors
 from patronlens.llm.common import held_out, table
 from patronlens.sources.sinks import shared_folder
 
@@ -79,6 +79,10 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     index = lines.insert(lines.empty_index(spark), docs)
@@ -104,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_source_divergence": op11_source_divergence,
     "op12_line_dedup": op12_line_dedup,
     "op13_conversation_trie": op13_conversation_trie,
 }

@@ -15,6 +15,7 @@ from patronlens.fixed_values import (
     TRAILING_DAYS,
 )
 from patronlens.functions.dates import midnight
+from patronlens.operators.heavy import HeavyKeys, heavy_key_row, known_heavy
 
 
 def _literal(moment: datetime) -> Column:
@@ -68,6 +69,26 @@ def find_anchor(
     return anchor
 
 
+def survey(
+    transactions: DataFrame, customers: DataFrame, days: int = DEFAULT_DAYS, at: date | str | None = None
+) -> tuple[Window, HeavyKeys | None]:
+    """The window, and the customers listed very often in ``customers``, in one job over both tables.
+
+    Where the anchor is given no job runs, and the second part is None: not known.
+    """
+    if at is not None:
+        return reporting_window(transactions, days, at), None
+    days = check_days(days)
+    latest = latest_day(transactions).select("end", F.lit(None).alias("heavy"))
+    often = heavy_key_row(customers, "customer_id").select(F.lit(None).alias("end"), "heavy")
+    anchor, heavy = None, None
+    for row in latest.unionByName(often).collect():
+        anchor, heavy = row["end"] or anchor, row["heavy"] if row["heavy"] is not None else heavy
+    if anchor is None:
+        raise ValueError(NO_DATE_ERROR)
+    return Window(anchor, days), known_heavy(heavy)
+
+
 def reporting_window(
     transactions: DataFrame,
     days: int = DEFAULT_DAYS,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patronlens.fixed_values import CUSTOMER_ATTRIBUTES
 from patronlens.functions.dates import whole_days_between
 from patronlens.operators.anchor import Window
+from patronlens.operators.heavy import HeavyKeys
 from patronlens.operators.joins import join_unique
 
 FEATURES = [
@@ -85,15 +86,15 @@ def rfm_features(transactions: DataFrame, window: Window) -> DataFrame:
 
 
 def with_attributes(
-    features: DataFrame, customers: DataFrame, repeated_ids: bool = False
+    features: DataFrame, customers: DataFrame, repeats: HeavyKeys | bool | None = None
 ) -> DataFrame:
     """Attach the customer attributes that exist.
 
     Customers without a master record keep null attributes; a customer listed twice yields
-    two rows.
+    two rows. ``repeats`` passes on customers listed very often, if an earlier pass found them.
     """
     kept = [c for c in CUSTOMER_ATTRIBUTES if c in customers.columns]
-    return join_unique(features, customers.select("customer_id", *kept), "customer_id", repeats=repeated_ids)
+    return join_unique(features, customers.select("customer_id", *kept), "customer_id", repeats=repeats)
 
 
 def active_customers(transactions: DataFrame, window: Window) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from patronlens import fixed_values as fixed
 from patronlens.operators import answers, churn, insights, kpis
-from patronlens.operators.anchor import Window, reporting_window
+from patronlens.operators.anchor import Window, reporting_window, survey
 from patronlens.operators.anova import (
     DEFAULT_DIMENSIONS,
     order_value_test_name,
@@ -92,9 +92,9 @@ class CustomerInsights(PeriodAnalysis):
     written to a new folder below ``folder``, by default the shared one that the session
     names, so that a lost executor never costs another pass over the transactions. ``release``
     drops what is kept, and so does leaving a ``with`` block. An analysis of changed files must
-    follow the release of the old one. ``date_formats`` lists date layouts besides ISO,
-    ``dimensions`` what order values are tested by, and ``repeated_ids`` says that customers are
-    listed several times, so that a customer listed very often is spread over tasks.
+    follow the release of the old one. ``date_formats`` lists date layouts besides ISO, and
+    ``dimensions`` what order values are tested by. The job that finds the anchor also finds customers
+    that are listed very often; their rows are spread over tasks.
     """
 
     def __init__(
@@ -109,7 +109,6 @@ class CustomerInsights(PeriodAnalysis):
         folder: str | None = None,
         date_formats: Sequence[str] = (),
         dimensions: Sequence[str] = DEFAULT_DIMENSIONS,
-        repeated_ids: bool = False,
     ):
         if scorer not in ("auto", "rule"):
             raise ValueError("scorer must be 'auto' or 'rule'")
@@ -120,13 +119,13 @@ class CustomerInsights(PeriodAnalysis):
         self.dimensions = tuple(dimensions)
         self._persisted: list[DataFrame] = []
         self._written: str | None = None
-        window = reporting_window(self.bundle.transactions, days, anchor)
+        window, often = survey(self.bundle.transactions, self.bundle.customers, days, anchor)
         windows, suffixes = [window], [""]
         if compare:
             windows.append(Window(window.anchor - timedelta(days=days), days))
             suffixes.append(PREVIOUS)
         activity = customer_activity(self.bundle.transactions, windows, suffixes)
-        joined = with_attributes(activity, self.bundle.customers, repeated_ids)
+        joined = with_attributes(activity, self.bundle.customers, often)
         table = self._keep(joined) if keep == "memory" else self._stored(joined, folder)
         super().__init__(table, window, "", scorer, model_features)
         if compare:

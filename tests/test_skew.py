@@ -1,14 +1,17 @@
 """One key with a third of all rows, or more: same results as brute force."""
 
+import uuid
 from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from patronlens.operators.anchor import reporting_window
+from patronlens.operators.anchor import reporting_window, survey
+from patronlens.operators.heavy import heavy_keys, merged_summary, summary
 from patronlens.operators.joins import flag_members, hot_keys, join_unique
 from patronlens.operators.quality import cleaning_report
-from patronlens.operators.rfm import rfm_features
+from patronlens.operators.rfm import rfm_features, with_attributes
 from patronlens.plans.customer_insights import CustomerInsights
 from patronlens.sources.bundle import TableBundle
 
@@ -108,3 +111,76 @@ def test_duplicate_rows(spark):
     row = cleaning_report(frame).head()
     assert (row["rows_total"], row["rows_retained"], row["duplicates"]) == (453, 402, 400)
     assert row["retained_share"] == pytest.approx(402 / 453)
+
+
+@pytest.fixture
+def plain_shuffles(spark):
+    """Joins by shuffle, with partitions as they are dealt."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    old = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+def task_sizes(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def jobs_while(spark, build):
+    """What ``build`` returns, and how many jobs it has run."""
+    group = f"watched-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    made = build()
+    spark.sparkContext.setJobGroup("rest", "")
+    return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("equal_rows", [False, True])
+def test_one_id_in_half_of_all_customers(spark, plain_shuffles, equal_rows):
+    """No job before the join, and no task with more than a small part of the hot rows."""
+    n = 40_000
+    name = "'same'" if equal_rows else "concat('n', id)"
+    known = spark.range(0, n, 1, 64).selectExpr("IF(id % 2 = 0, 7, id) AS customer_id", f"{name} AS device_type")
+    figures = spark.range(100).selectExpr("id AS customer_id", "id * 2.0 AS aov")
+    joined, jobs = jobs_while(spark, lambda: with_attributes(figures, known))
+    assert jobs == 0
+    sizes = task_sizes(joined)
+    assert sum(sizes) == n // 2 + 100 and max(sizes) < n // 8
+    inner, jobs = jobs_while(spark, lambda: join_unique(figures, known, "customer_id", "inner"))
+    sizes = task_sizes(inner)
+    assert jobs == 0 and sum(sizes) == n // 2 + 50 and max(sizes) < n // 8
+    flagged, jobs = jobs_while(spark, lambda: flag_members(known, figures, "customer_id", "f"))
+    sizes = task_sizes(flagged)
+    assert jobs == 0 and sum(sizes) == n and max(sizes) < n // 8
+    assert flagged.filter("f").count() == n // 2 + 50
+
+
+def test_hot_customers_come_from_the_job_that_finds_the_anchor(spark, plain_shuffles, transactions, customers):
+    table = transactions(rows(34))
+    known = customers([("hot", f"n{i}", "x") for i in range(500)] + [("c1", None, "y")])
+    (window, often), jobs = jobs_while(spark, lambda: survey(table, known))
+    assert often.keys == ("hot",) and window == reporting_window(table) and jobs == 1
+    assert survey(table, known, at="2024-03-01")[1] is None
+    with pytest.raises(ValueError):
+        survey(table.limit(0), known)
+    assert survey(table, known.limit(0))[1].keys == ()
+
+
+def test_summaries_of_parts_merge(spark):
+    parts = [spark.range(300).selectExpr("IF(id < 200, 7, id) AS k"), spark.range(5000).selectExpr("id + 1000 AS k")]
+    kept = [p.agg(summary("k").alias("s"), F.count("*").alias("n")) for p in parts]
+    both = kept[0].unionByName(kept[1]).agg(merged_summary("s").alias("s"), F.sum("n").alias("n"))
+    assert both.select(heavy_keys(F.col("s"), F.col("n"), 0.03)).head()[0] == [7]
+    assert kept[1].select(heavy_keys(F.col("s"), F.col("n"))).head()[0] == []
+    nulls = spark.range(10).selectExpr("cast(null as bigint) AS k")
+    assert hot_keys(nulls, "k") == [] and hot_keys(nulls.limit(0), "k") == []
+    for how in ("left", "inner"):
+        joined = join_unique(spark.range(3).selectExpr("id AS k"), nulls.selectExpr("k", "1 AS b"), "k", how)
+        assert joined.count() == (3 if how == "left" else 0)

@@ -35,7 +35,7 @@ from patronlens.llm.common import stored
 
 MIN_DOCS = 10
 SCALE = 1_000_000_000
-FLUSH_TERMS = 200_000  # terms a task holds before it hands their counts on
+FLUSH_TERMS = 500_000  # terms a task holds before it hands their counts on
 BLOCK_TERMS, BLOCK_SOURCES = 2048, 128
 RUN = 50_000
 SALTS = 16
@@ -59,9 +59,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 keys = [b"", *n]
                 yield pa.record_batch(
                     [
-                        pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()),
+                        pa.repeat(lang, len(keys)), pa.repeat(source, len(keys)),
                         pa.array(keys, pa.binary()), pa.array([0, *n.values()], pa.int64()),
-                        pa.array([0, *(in_docs[k] for k in n)], pa.int64()),
+                        pa.array([0, *map(in_docs.__getitem__, n)], pa.int64()),
                     ],
                     ["lang", "source", "term", "n", "docs"],
                 )

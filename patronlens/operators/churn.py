@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patronlens.fixed_values import (
@@ -23,23 +20,51 @@ from patronlens.fixed_values import (
     TEST_SHARE,
 )
 from patronlens.functions.numbers import clip01
+from patronlens.operators.logistic import LogisticFit, fit_logistic, probability
 from patronlens.operators.quantiles import exact_quantiles
 
 LABEL = "label_churn"
 HASH_DIGITS = 13
-ROWS_PER_TASK = 500_000
 
 
-@dataclass(frozen=True)
+@dataclass
 class ChurnModel:
-    """A fitted model, or None with the rule that replaces it."""
+    """A fitted model, or None with the rule that replaces it.
+
+    The metrics are computed over the test rows when they are first asked for, as scores do not
+    need them. ``longest`` is the recency that the rule divides by, once it is known.
+    """
 
     type: str
     label_rule: str
     features: tuple[str, ...]
-    auc: float | None = None
-    accuracy: float | None = None
-    fitted: LogisticRegressionModel | None = None
+    fitted: LogisticFit | None = None
+    test: DataFrame | None = field(default=None, repr=False)
+    longest: float | None = None
+
+    @cached_property
+    def _metrics(self) -> tuple[float | None, float | None]:
+        if self.fitted is None or self.test is None:
+            return None, None
+        hit = ((F.col("p") >= 0.5).cast("double") == F.col(LABEL)).cast("double")
+        scored = self.test.withColumn("p", probability(self.fitted, self.features)).select("p", LABEL)
+        scored = scored.persist()
+        try:
+            accuracy = scored.agg(F.avg(hit)).head()[0]
+            auc = BinaryClassificationEvaluator(
+                rawPredictionCol="p", labelCol=LABEL, numBins=0
+            ).evaluate(scored)
+        finally:
+            scored.unpersist()
+        return auc, accuracy
+
+    @property
+    def auc(self) -> float | None:
+        return self._metrics[0]
+
+    @property
+    def accuracy(self) -> float | None:
+        return self._metrics[1]
 
 
 def with_label(features: DataFrame, churn_days: int = CHURN_DAYS) -> DataFrame:
@@ -84,24 +109,15 @@ def with_split(labelled: DataFrame) -> DataFrame:
     return hashed.withColumn("is_test", is_test).drop("draw")
 
 
-def _with_vector(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    assembler = VectorAssembler(inputCols=list(names), outputCol="_x")
-    return assembler.transform(df)
-
-
-def _probability(fitted: LogisticRegressionModel, df: DataFrame) -> DataFrame:
-    return fitted.transform(df).withColumn("p", vector_to_array("probability")[1])
-
-
 def train_churn(
     features: DataFrame,
     names: Sequence[str] = CHURN_FEATURES,
     churn_days: int = CHURN_DAYS,
 ) -> ChurnModel:
-    """Fit and evaluate the model, or fall back to the rule on too little evidence.
+    """Fit the model, or fall back to the rule on too little evidence.
 
-    Pass persisted features. The driver sees only row counts, the coefficients and the two
-    metrics. Note that recency defines the label and is also an input; leave it out through
+    Pass persisted features. The driver sees row counts, sums of products of the inputs, a bounded
+    sample to start from, the coefficients and the metrics. Note that recency defines the label and is also an input; leave it out through
     ``names`` for a model that predicts rather than restates the rule.
     """
     present = present_features(features, names)
@@ -112,30 +128,14 @@ def train_churn(
     if min(seen.values()) < 2:
         raise ValueError("a stratified split needs at least two rows of each label")
 
-    # Every iteration of the fit is a job, so small data should not be cut into many tasks.
-    tasks = math.ceil(sum(seen.values()) / ROWS_PER_TASK)
-    rows = _with_vector(with_split(labelled), present).select("_x", LABEL, "is_test")
-    rows = rows.coalesce(tasks).persist()
+    rows = with_split(labelled).select("customer_id", *present, LABEL, "is_test")
+    train = rows.filter(~F.col("is_test")).drop("is_test").persist()
     try:
-        train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
-        # The penalty of one unit on the summed loss, expressed for the mean loss.
-        fitted = LogisticRegression(
-            featuresCol="_x",
-            labelCol=LABEL,
-            maxIter=1000,
-            regParam=1.0 / train.count(),
-            elasticNetParam=0.0,
-            standardization=False,
-        ).fit(train)
-        scored = _probability(fitted, test)
-        auc = BinaryClassificationEvaluator(
-            rawPredictionCol="p", labelCol=LABEL, numBins=0
-        ).evaluate(scored)
-        hit = ((F.col("p") >= 0.5).cast("double") == F.col(LABEL)).cast("double")
-        accuracy = scored.agg(F.avg(hit)).head()[0]
+        fitted = fit_logistic(train, present, LABEL, "customer_id")
     finally:
-        rows.unpersist()
-    return ChurnModel(LOGISTIC, LOGISTIC_LABEL_RULE, tuple(present), auc, accuracy, fitted)
+        train.unpersist()
+    test = rows.filter("is_test")
+    return ChurnModel(LOGISTIC, LOGISTIC_LABEL_RULE, tuple(present), fitted, test)
 
 
 def rule_model(features: DataFrame, names: Sequence[str] = CHURN_FEATURES) -> ChurnModel:
@@ -143,20 +143,21 @@ def rule_model(features: DataFrame, names: Sequence[str] = CHURN_FEATURES) -> Ch
     return ChurnModel(RULE_ONLY, RULE_LABEL_RULE, tuple(present_features(features, names)))
 
 
+def longest_recency(features: DataFrame) -> float:
+    """The recency that stands for a risk of 1: the longest one, or 1 day if nobody has been away."""
+    return features.agg(F.max(F.greatest(F.col("recencyDays"), F.lit(0)).cast("double"))).head()[0] or 1.0
+
+
 def score_churn(features: DataFrame, model: ChurnModel) -> DataFrame:
-    """Add ``churnRisk`` in [0, 1] to every row, training rows included."""
+    """Add ``churnRisk`` in [0, 1] to every row, training rows included.
+
+    The rule looks for the longest recency once for each model and keeps it there, so all scores by
+    one model use one base.
+    """
     if model.fitted is None:
+        if model.longest is None:
+            model.longest = longest_recency(features)
         recency = F.greatest(F.col("recencyDays"), F.lit(0)).cast("double")
-        longest = features.agg(F.max(recency)).head()[0] or 0.0
-        base = longest if longest > 0 else 1.0
-        return features.withColumn("churnRisk", clip01(recency / base))
-    # Inputs are filled under names of their own; the feature columns keep their nulls.
-    filled = {
-        f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in model.features
-    }
-    vectors = _with_vector(features.withColumns(filled), list(filled))
-    return (
-        _probability(model.fitted, vectors)
-        .withColumn("churnRisk", clip01(F.col("p")))
-        .select(*features.columns, "churnRisk")
-    )
+        return features.withColumn("churnRisk", clip01(recency / model.longest))
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in model.features]
+    return features.withColumn("churnRisk", clip01(probability(model.fitted, filled)))

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from patronlens.fixed_values import CHURN_FEATURES
-from patronlens.operators import churn
+from patronlens.operators import churn, logistic
 from patronlens.operators.alerts import churn_alerts
 
 
@@ -135,3 +137,60 @@ def test_alerts_need_value_and_risk(spark):
     # The upper quartile of 0..11 is 8.25.
     assert {r["customer_id"] for r in churn_alerts(scored).collect()} == {"c10"}
     assert churn_alerts(scored, threshold=0.05, high_value=9).count() == 3
+
+
+def spark_fit(rows, names):
+    """Spark's own fit of the same loss, as an independent check."""
+    n = rows.count()
+    vectors = VectorAssembler(inputCols=list(names), outputCol="x").transform(rows)
+    return LogisticRegression(
+        featuresCol="x", labelCol="y", regParam=1 / n, maxIter=1000, tol=1e-12, standardization=False
+    ).fit(vectors)
+
+
+def overlapping(spark, n, seed=5):
+    """Inputs of very different sizes, and labels that they only half explain."""
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(0, 1, n), rng.gamma(2, 5e4, n), rng.integers(0, 3, n) * 1e-3])
+    y = (x[:, 0] + x[:, 1] / 1e5 + rng.logistic(0, 1.5, n) > 1).astype(float)
+    rows = [(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, y double"), x, y
+
+
+@pytest.mark.parametrize("start", [100, 20_000])
+def test_newton_passes_are_few_and_reach_the_optimum(spark, monkeypatch, start):
+    monkeypatch.setattr(logistic, "START_ROWS", start)
+    rows, x, y = overlapping(spark, 4000)
+    fit = logistic.fit_logistic(rows, ["a", "b", "c"], "y", "id")
+    expected = newton(x, y)
+    assert [*fit.coefficients, fit.intercept] == pytest.approx(expected, rel=1e-8, abs=1e-10)
+    other = spark_fit(rows, ["a", "b", "c"])
+    assert fit.coefficients.toArray()[:2] == pytest.approx(other.coefficients.toArray()[:2], rel=1e-3)
+    assert fit.passes < 12
+
+
+def test_newton_halves_steps_from_a_misleading_start(spark, monkeypatch):
+    """A start far off the optimum: full steps would overshoot."""
+    rows, x, y = overlapping(spark, 600)
+    monkeypatch.setattr(logistic, "_on_sample", lambda data, share: np.array([8.0, 1e-4, 0.0, -20.0]))
+    fit = logistic.fit_logistic(rows, ["a", "b", "c"], "y", "id")
+    assert [*fit.coefficients, fit.intercept] == pytest.approx(newton(x, y), rel=1e-8, abs=1e-10)
+
+
+def test_label_that_an_input_restates(spark):
+    """Separable classes: only the penalty keeps the optimum finite."""
+    rows = churn.feature_matrix(frame(spark, 3000, seed=9))
+    fit = churn.train_churn(rows).fitted
+    train = churn.with_split(churn.with_label(rows)).filter("NOT is_test")
+    data = np.array([tuple(r) for r in train.select(*CHURN_FEATURES, churn.LABEL).collect()])
+    assert [*fit.coefficients, fit.intercept] == pytest.approx(newton(data[:, :-1], data[:, -1]), rel=1e-5, abs=1e-8)
+    assert fit.passes < 12
+
+
+def test_longest_recency_is_found_once_for_a_model(spark):
+    rows = spark.createDataFrame([("a", 0), ("b", 5), ("c", 20)], "customer_id string, recencyDays int")
+    model = churn.rule_model(rows)
+    churn.score_churn(rows, model)
+    assert model.longest == 20
+    part = churn.score_churn(rows.filter("recencyDays < 20"), model).collect()
+    assert {r["customer_id"]: r["churnRisk"] for r in part} == {"a": 0, "b": 0.25}

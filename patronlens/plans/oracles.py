@@ -77,14 +77,79 @@ def feature_ctes(mapping: str, days: int = 30, back: int = 0, tag: str = "") ->
     FROM base{tag} b, lim{tag})"""
 
 
-def kpi_cte(tag: str = "") -> str:
+MODEL_INPUTS = ['"recencyDays"', "frequency90d", "monetary90d", "avg_session_time_min", "wishlist_items_count"]
+
+
+def newton_ctes(inputs: list[str], tag: str = "", rounds: int = 2500) -> str:
+    """CTEs parted (base rows with inputs, label and split), fit (a point a round) and scored (with p).
+
+    Newton steps for the summed log-loss plus half the squared coefficients. Inputs are divided by
+    their largest size, with the penalty on the coefficients as they are; the system of each step
+    is solved by elimination; a step that moves margins by up to m is shortened to ln(1 + m), which
+    keeps the loss falling. The last unknown is the intercept.
+    """
+    k = len(inputs)
+    x = [f"x{j}" for j in range(k)]
+    terms = [*x, "1.0::DOUBLE"]
+    w = [f"w{j}" for j in range(k + 1)]
+    corners = [(r, c) for r in range(k + 1) for c in range(r, k + 1)]
+    margin = " + ".join(f"{a} * {b}" for a, b in zip(w, terms))
+    p = f"1 / (1 + exp(-least(greatest({margin}, -700), 700)))"
+    penalty = [f"any_value(q{j})" for j in range(k)] + ["0"]
+    sums = [f"sum((y - p) * {t}) - {q} * {a} AS g{r}" for r, (t, q, a) in enumerate(zip(terms, penalty, w))]
+    sums += [f"sum(p * (1 - p) * {terms[r]} * {terms[c]})" + (f" + {penalty[r]}" if r == c else "") + f" AS h{r}_{c}" for r, c in corners]
+    names = ", ".join(w)
+    solved = f"""SELECT i, {names}, {", ".join(sums)}
+      FROM (SELECT i, {names}, t.*, {p} AS p FROM fit{tag}, train{tag} t WHERE i < {rounds}) GROUP BY i, {names}"""
+    for m in range(k):
+        rest = [f"g{r} - h{m}_{r} * g{m} / h{m}_{m} AS g{r}" for r in range(m + 1, k + 1)]
+        rest += [f"h{r}_{c} - h{m}_{r} * h{m}_{c} / h{m}_{m} AS h{r}_{c}" for r, c in corners if r > m]
+        solved = f"SELECT * REPLACE ({', '.join(rest)}) FROM ({solved})"
+    for m in range(k, -1, -1):
+        known = "".join(f" - h{m}_{c} * d{c}" for c in range(m + 1, k + 1))
+        solved = f"SELECT *, (g{m}{known}) / h{m}_{m} AS d{m} FROM ({solved})"
+    moved = " + ".join(f"abs(d{j})" for j in range(k + 1))
+    solved = f"SELECT *, {moved} AS m FROM ({solved})"
+    solved = f"SELECT *, CASE WHEN m > 1e-9 THEN ln(1 + m) / m ELSE 1.0 END AS s FROM ({solved})"
+    zeros = ", ".join(["0.0::DOUBLE"] * (k + 1))
+    return f"""
+  given{tag} AS (
+    SELECT customer_id, {", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {n}" for c, n in zip(inputs, x))},
+           ('0x' || substr(md5(CAST(customer_id AS VARCHAR)), 1, 13))::BIGINT AS draw,
+           CASE WHEN "recencyDays" >= 60 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM base{tag}),
+  parted{tag} AS (
+    SELECT *, row_number() OVER (PARTITION BY y ORDER BY draw)
+              <= ceil(count(*) OVER (PARTITION BY y) / 4.0) AS is_test FROM given{tag}),
+  size{tag} AS (
+    SELECT {", ".join(f"greatest(max(abs({n})), 1e-300) AS s{j}" for j, n in enumerate(x))}
+    FROM parted{tag} WHERE NOT is_test),
+  train{tag} AS (
+    SELECT {", ".join(f"{n} / s{j} AS {n}, 1 / (s{j} * s{j}) AS q{j}" for j, n in enumerate(x))}, y
+    FROM parted{tag}, size{tag} WHERE NOT is_test),
+  fit{tag}(i, {names}) AS (
+    SELECT 0, {zeros}
+    UNION ALL SELECT i + 1, {", ".join(f"{a} + s * d{j}" for j, a in enumerate(w))} FROM ({solved})),
+  scored{tag} AS (
+    SELECT customer_id, y, is_test, {p} AS p
+    FROM (SELECT customer_id, y, is_test, {", ".join(f"{n} / s{j} AS {n}" for j, n in enumerate(x))}
+          FROM parted{tag}, size{tag}), fit{tag} WHERE i = {rounds})"""
+
+
+def model_ctes(mapping: str, days: int = 30, back: int = 0, tag: str = "") -> str:
+    """The features, and modeled: feats with the churn risk of a model fitted on them."""
+    return f"""{feature_ctes(mapping, days, back, tag)}, {newton_ctes(MODEL_INPUTS, tag)},
+  modeled{tag} AS (
+    SELECT feats{tag}.* REPLACE (p AS "churnRisk") FROM feats{tag} JOIN scored{tag} USING (customer_id))"""
+
+
+def kpi_cte(tag: str = "", source: str = "feats") -> str:
     return f"""
   kpi{tag} AS (
     SELECT count(*) FILTER (WHERE "isActiveInWindow") AS "activeCustomers",
            coalesce(avg(monetary), 0) AS "avgCustomerValue",
            count(*) FILTER (WHERE "churnRisk" >= 0.7) AS "churnRiskCustomers",
            coalesce(avg(CASE WHEN frequency >= 2 THEN 1.0 ELSE 0.0 END), 0) AS "retentionRate"
-    FROM feats{tag})"""
+    FROM {source}{tag})"""
 
 
 def on_features(select: str, mapping: str = "orders", **window: int) -> str:
@@ -248,7 +313,7 @@ GROWTH = f"""WITH {INVENTORY},
            (cur - prev) / nullif(prev, 0) AS raw_growth FROM gr)"""
 
 
-def changes(mapping: str, days: int) -> str:
+def changes(mapping: str, days: int, model: bool = False) -> str:
     def unpivoted(tag: str) -> str:
         return f"""
   long{tag} AS (
@@ -257,8 +322,9 @@ def changes(mapping: str, days: int) -> str:
     UNION ALL SELECT 'churnRiskCustomers', CAST("churnRiskCustomers" AS DOUBLE) FROM kpi{tag}
     UNION ALL SELECT 'retentionRate', "retentionRate" FROM kpi{tag})"""
 
-    return f"""WITH {feature_ctes(mapping, days)}, {kpi_cte()}, {unpivoted('')},
-  {feature_ctes(mapping, days, days, '2')}, {kpi_cte('2')}, {unpivoted('2')},
+    rows, source = (model_ctes, "modeled") if model else (feature_ctes, "feats")
+    return f"""WITH RECURSIVE {rows(mapping, days)}, {kpi_cte('', source)}, {unpivoted('')},
+  {rows(mapping, days, days, '2')}, {kpi_cte('2', source)}, {unpivoted('2')},
   ch AS (
     SELECT long.kpi, long.v AS value, long2.v AS previous,
            (long.v - long2.v) / nullif(long2.v, 0) AS delta
@@ -468,6 +534,18 @@ def oracle_sql() -> dict[str, str]:
         round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2)
               / (sum(y) * (count(*) - sum(y))), 6) AS auc,
         round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM ranked"""
+    modeled = f"WITH RECURSIVE {model_ctes('orders')}"
+    sql["lr_score"] = f"""{modeled} SELECT customer_id, round(p, 4) AS "churnRisk" FROM scored"""
+    sql["lr_metrics"] = f"""{modeled},
+      ranked AS (SELECT y, p, (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p)::DOUBLE / 2 - 0.5) AS r
+                 FROM scored WHERE is_test)
+      SELECT 'logistic_regression' AS type, 'churned if no purchase in last 60 days' AS "labelRule",
+        'recencyDays,frequency90d,monetary90d,avg_session_time_min,wishlist_items_count' AS features,
+        round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2)
+              / (sum(y) * (count(*) - sum(y))), 4) AS auc,
+        round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy FROM ranked"""
+    sql["headline_kpis_model"] = f"{modeled}, {kpi_cte('', 'modeled')} {KPIS}"
+    sql["top_customers_model"] = f"{modeled} {TOP.replace('feats', 'modeled')}"
     sql["model_record_events"] = """SELECT 'rule_only' AS type,
       'churned if recencyDays >= 60' AS "labelRule",
       'recencyDays,frequency90d,monetary90d' AS features, CAST(NULL AS DOUBLE) AS auc,
@@ -607,6 +685,7 @@ def oracle_sql() -> dict[str, str]:
     change_rows = """SELECT kpi, round(value, 4) AS value, round(previous, 4) AS previous,
       round(delta, 6) AS "deltaPct" FROM ch"""
     sql["kpi_changes"] = f"{changes('orders', 30)} {change_rows}"
+    sql["kpi_changes_model"] = f"{changes('orders', 90, True)} {change_rows}"
     sql["kpi_changes_events"] = f"{changes('events', 7)} {change_rows}"
     sql["retention_by_segment"] = on_features("""SELECT segment, count(*) AS customers,
       round(avg(CASE WHEN frequency >= 2 THEN 1.0 ELSE 0.0 END), 6) AS "retentionRate"

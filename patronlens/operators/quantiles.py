@@ -51,7 +51,7 @@ class _Range:
         return F.when(inside, v)
 
 
-def _interpolate(low: float, high: float, weight: float) -> float:
+def interpolate(low: float, high: float, weight: float) -> float:
     step = high - low
     return high - step * (1 - weight) if weight >= 0.5 else low + step * weight
 
@@ -178,6 +178,6 @@ def exact_quantiles(
         low = values[column, math.floor(position)]
         high = values[column, math.ceil(position)]
         weight = position - math.floor(position)
-        return Quantile(sizes[column], low, _interpolate(low, high, weight))
+        return Quantile(sizes[column], low, interpolate(low, high, weight))
 
     return {c: {q: quantile(c, q) for q in fractions} for c, fractions in wanted.items()}

@@ -27,7 +27,7 @@ from patronlens.plans.customer_insights import CustomerInsights
 from patronlens.sources import sinks, star_schema as star
 from patronlens.sources.bundle import load_bundle
 from patronlens.sources.delimited import drop_missing_tokens, read_delimited
-from patronlens.streaming import refresh
+from patronlens.streaming import buckets, refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,6 +820,25 @@ def streaming_batches(spark, folder):
     return rounded(features.join(values, "customer_id"), {**FEATURE_DIGITS, "aov": FINE})
 
 
+@query
+def streaming_segments(spark, folder):
+    """Orders that arrive in order of time, a quarter at a time, taken into bucketed state: every
+    batch moves the window. Segments by limits that the counting trees give."""
+    base = sinks.shared_folder(spark)
+    arriving = f"{base}/in"
+    orders = star.order_transactions(spark, folder)
+    day = F.unix_date(F.col("order_datetime").cast("date"))
+    cuts = orders.agg(F.percentile_approx(day, [0.25, 0.5, 0.75])).head()[0]
+    state = buckets.BucketedState(spark, f"{base}/state", buckets=16, leaf_values=1_000)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        later = F.lit(True) if low is None else day > low
+        part = orders.filter(later & (F.lit(True) if high is None else day <= high))
+        part.write.mode("append").parquet(arriving)
+        state.refresh(refresh.transaction_stream(spark, arriving, orders.schema))
+    found = segment_rules.with_segments(state.features(), state.window, state.thresholds())
+    return rounded(found.select("customer_id", "recencyDays", "frequency", "monetary", "segment", "isActiveInWindow"), {"monetary": MONEY})
+
+
 @query
 def csv_folder_kpis(spark, folder):
     """Customers and orders exported as CSV, loaded as a table folder and analysed."""

@@ -438,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
         'Use this segment dimension when designing offers or UX changes.'
       FROM p WHERE p < 0.05"""
     sql["csv_folder_kpis"] = sql["headline_kpis"]
+    sql["streaming_segments"] = on_features(SEGMENTS)
     sql["response_fields"] = on_kpis(f"""SELECT 30 AS days, CAST((SELECT e FROM a) AS DATE) AS "end",
       "activeCustomers" AS active, round("avgCustomerValue", 4) AS average,
       "churnRiskCustomers" AS risky, round("retentionRate", 6) AS retention,

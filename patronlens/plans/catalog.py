@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patronlens.functions.dates import month_label
+from patronlens.functions.documents import document_rows
 from patronlens.operators import (
     alerts,
     anchor,
@@ -550,6 +551,22 @@ def response_json_events(spark, folder):
     return analysis(spark, folder, "events", days=7).response()
 
 
+def _document(run: CustomerInsights) -> DataFrame:
+    return rounded(document_rows(run.response(), "response"), {"number": MEAN})
+
+
+@query
+def response_document(spark, folder):
+    """The whole response with a fitted model, taken apart into a row for each of its parts."""
+    return _document(analysis(spark, folder, "orders"))
+
+
+@query
+def response_document_events(spark, folder):
+    """The whole response without a model, tests and some attributes."""
+    return _document(analysis(spark, folder, "events", days=7))
+
+
 @query
 def kpi_display(spark, folder):
     return display.kpi_display(analysis(spark, folder, "orders", scorer="rule").kpis)

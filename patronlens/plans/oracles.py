@@ -238,6 +238,48 @@ def anova_ctes(tests: dict[str, str]) -> str:
     FROM r)"""
 
 
+KPI_LABELS = {
+    "activeCustomers": "vs previous period", "avgCustomerValue": "vs previous period",
+    "churnRiskCustomers": "needs attention", "retentionRate": "vs previous period",
+}
+
+
+def document(mapping: str, days: int, model: str, features: list[str], rule: str, extra: str = "") -> str:
+    """The response as rows (path, type, text, number); ``model`` is 'feats' or 'modeled'."""
+    cards = ", ".join(
+        f"""'{k}': {{'value': "{k}", 'deltaPct': NULL, 'deltaLabel': '{label}'}}""" for k, label in KPI_LABELS.items()
+    )
+    top = ", ".join(f"""'{c}': "{c}\"""" for c in ("id", "name", "segment", "recencyDays", "frequency", "monetary", "churnRisk"))
+    insight = ", ".join(f"""'{c}': "{c}\"""" for c in ("title", "severity", "evidence", "recommendedAction"))
+    fitted = model == "modeled"
+    auc, accuracy = ("(SELECT auc FROM metrics)", "(SELECT accuracy FROM metrics)") if fitted else ("NULL", "NULL")
+    fact = f" UNION ALL SELECT 3, format('Churn model AUC: {{:.2f}}', {auc})" if fitted else ""
+    tests = f"""(SELECT list({{'name': test, 'method': 'ANOVA', 'pValue': p,
+         'result': CASE WHEN p < 0.05 THEN 'significant' ELSE 'not_significant' END}} ORDER BY test)
+         FROM ({anova_ctes(DEVICE_TEST)} SELECT * FROM t))""" if mapping == "orders" else "[]"
+    given = ", ".join(f"'{c}'" for c in features)
+    ctes = model_ctes(mapping, days) if fitted else feature_ctes(mapping, days)
+    return f"""WITH RECURSIVE {ctes}, {kpi_cte('', model)}{extra},
+      doc AS (SELECT to_json({{
+        'range': {{'days': {days}, 'end': (SELECT strftime(e, '%Y-%m-%d') FROM a)}},
+        'kpis': (SELECT {{{cards}}} FROM kpi),
+        'segments': (SELECT list({{'name': name, 'value': value}} ORDER BY name) FROM ({SEGMENT_COUNTS})),
+        'clvTrend': (SELECT list({{'month': month, 'value': value}} ORDER BY month) FROM ({TREND})),
+        'topCustomers': (SELECT list({{{top}}} ORDER BY monetary DESC, id) FROM ({TOP.replace('feats', model)})),
+        'model': {{'churnModel': {{'type': '{"logistic_regression" if fitted else "rule_only"}', 'labelRule': '{rule}',
+          'features': [{given}], 'metrics': {{'auc': {auc}, 'accuracy': {accuracy}}}}}}},
+        'tests': {tests},
+        'insights': coalesce((SELECT list({{{insight}}}) FROM ({INSIGHTS})), []),
+        'grounding': {{'facts': (SELECT list(fact ORDER BY position) FROM ({FACTS}{fact}))}}
+      }}) AS j)
+      SELECT fullkey AS path,
+        CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array'
+                  WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS type,
+        CASE WHEN type IN ('VARCHAR', 'BOOLEAN') THEN atom ->> '$' END AS text,
+        CASE WHEN type NOT IN ('VARCHAR', 'BOOLEAN', 'OBJECT', 'ARRAY', 'NULL') THEN round(CAST(atom AS DOUBLE), 4) END AS number
+      FROM doc, json_tree(doc.j)"""
+
+
 SPEND_BANDS = {
     f"Avg order value differs by band_{groups}_{limit}":
         f"CASE WHEN aov >= {limit} THEN CAST(customer_id % {groups - 1} AS VARCHAR) ELSE 'low' END"
@@ -536,15 +578,23 @@ def oracle_sql() -> dict[str, str]:
               / (sum(y) * (count(*) - sum(y))), 6) AS auc,
         round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM ranked"""
     modeled = f"WITH RECURSIVE {model_ctes('orders')}"
+    metrics = """,
+      metrics AS (
+        SELECT (sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc,
+               avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+        FROM (SELECT y, p, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p)::DOUBLE / 2 - 0.5 AS r
+              FROM scored WHERE is_test))"""
+    sql["response_document"] = document(
+        "orders", 30, "modeled", [c.strip('"') for c in MODEL_INPUTS], "churned if no purchase in last 60 days", metrics
+    )
+    sql["response_document_events"] = document(
+        "events", 7, "feats", ["recencyDays", "frequency90d", "monetary90d"], "churned if recencyDays >= 60"
+    )
     sql["lr_score"] = f"""{modeled} SELECT customer_id, round(p, 4) AS "churnRisk" FROM scored"""
-    sql["lr_metrics"] = f"""{modeled},
-      ranked AS (SELECT y, p, (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p)::DOUBLE / 2 - 0.5) AS r
-                 FROM scored WHERE is_test)
+    sql["lr_metrics"] = f"""{modeled}{metrics}
       SELECT 'logistic_regression' AS type, 'churned if no purchase in last 60 days' AS "labelRule",
         'recencyDays,frequency90d,monetary90d,avg_session_time_min,wishlist_items_count' AS features,
-        round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2)
-              / (sum(y) * (count(*) - sum(y))), 4) AS auc,
-        round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy FROM ranked"""
+        round(auc, 4) AS auc, round(accuracy, 4) AS accuracy FROM metrics"""
     sql["headline_kpis_model"] = f"{modeled}, {kpi_cte('', 'modeled')} {KPIS}"
     sql["top_customers_model"] = f"{modeled} {TOP.replace('feats', 'modeled')}"
     sql["model_record_events"] = """SELECT 'rule_only' AS type,

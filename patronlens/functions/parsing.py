@@ -11,6 +11,7 @@ from patronlens.fixed_values import MISSING_TOKENS
 
 NUMBER_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?)?$"
+PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 ZONE = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -43,6 +44,7 @@ def parse_timestamp(
 
     ISO text always parses, the compact form of a day (20240115) and an hour alone included. A
     zone is dropped and the clock time kept. Other layouts are tried in the order the caller lists them.
+    Ordinary values meet one test of their shape; rarer forms are worked out only where it fails.
     """
     if not isinstance(dtype, StringType):
         return value.cast("timestamp_ntz")
@@ -52,7 +54,8 @@ def parse_timestamp(
     clock = F.regexp_replace(clock, r"^(\S{10}[ T]\d{2})$", "$1:00")
     iso = F.when(clock.rlike(DATE_SHAPE), clock.try_cast("timestamp_ntz"))
     extra = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(iso, *extra)
+    plain = text.rlike(PLAIN_DATE)
+    return F.when(plain, text.try_cast("timestamp_ntz")).otherwise(F.coalesce(iso, *extra))
 
 
 def parse_flag(value: Column) -> Column:

@@ -56,14 +56,17 @@ def clean_transactions(
     return kept
 
 
-def clean_bundle(bundle: TableBundle, date_formats: Sequence[str] = ()) -> TableBundle:
+def clean_bundle(
+    bundle: TableBundle, date_formats: Sequence[str] = (), customer_formats: Sequence[str] | None = None
+) -> TableBundle:
     """Clean customers and transactions; the other tables pass through unchanged.
 
-    Customer ids keep their type, since numbers are smaller to shuffle than text. Two types of
-    numbers become doubles, or longs if both are whole numbers, so that equal ids stay equal.
-    If only one side is text, both become text: a mixed join would coerce values silently.
+    ``date_formats`` holds for both tables unless ``customer_formats`` is given. Customer ids keep
+    their type, since numbers are smaller to shuffle than text. Two types of numbers become doubles, or
+    longs if both are whole numbers, so that equal ids stay equal (longs beside doubles do up to
+    2^53). If only one side is text, both become text: a mixed join would coerce values silently.
     """
-    customers = clean_customers(bundle.customers, date_formats)
+    customers = clean_customers(bundle.customers, date_formats if customer_formats is None else customer_formats)
     transactions = clean_transactions(bundle.transactions, date_formats)
     key = "customer_id"
     types = [customers.schema[key].dataType, transactions.schema[key].dataType]

@@ -11,16 +11,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from patronlens import fixed_values as fixed
 from patronlens.operators import answers, churn, insights, kpis
-from patronlens.operators.anchor import Window, reporting_window, survey
+from patronlens.operators.anchor import Window
 from patronlens.operators.anova import (
     DEFAULT_DIMENSIONS,
     order_value_test_name,
     order_value_tests,
 )
-from patronlens.operators.clean import clean_bundle
+from patronlens.operators.first_look import first_look
 from patronlens.operators.rfm import FEATURES, customer_activity, with_attributes
 from patronlens.operators.segments import Thresholds, segment_thresholds, with_segments
 from patronlens.sources.bundle import TableBundle
+from patronlens.sources.fingerprint import fingerprint
 
 PREVIOUS = "_previous"
 
@@ -92,9 +93,10 @@ class CustomerInsights(PeriodAnalysis):
     written to a new folder below ``folder``, by default the shared one that the session
     names, so that a lost executor never costs another pass over the transactions. ``release``
     drops what is kept, and so does leaving a ``with`` block. An analysis of changed files must
-    follow the release of the old one. ``date_formats`` lists date layouts besides ISO, and
-    ``dimensions`` what order values are tested by. The job that finds the anchor also finds customers
-    that are listed very often; their rows are spread over tasks.
+    follow the release of the old one. ``date_formats`` lists date layouts besides ISO; by default the
+    layout of text dates is found by a vote. ``dimensions`` is what order values are tested by. The job
+    that finds the anchor also holds that vote and finds customers that are listed very often; their
+    rows are spread over tasks.
     """
 
     def __init__(
@@ -107,19 +109,19 @@ class CustomerInsights(PeriodAnalysis):
         compare: bool = False,
         keep: str = "memory",
         folder: str | None = None,
-        date_formats: Sequence[str] = (),
+        date_formats: Sequence[str] | None = None,
         dimensions: Sequence[str] = DEFAULT_DIMENSIONS,
     ):
         if scorer not in ("auto", "rule"):
             raise ValueError("scorer must be 'auto' or 'rule'")
         if keep not in ("memory", "storage"):
             raise ValueError("keep must be 'memory' or 'storage'")
-        self.bundle = clean_bundle(bundle, date_formats)
+        look = first_look(bundle, days, anchor, date_formats)
+        self.bundle, window, often = look.bundle, look.window, look.often
         self.days = days
         self.dimensions = tuple(dimensions)
         self._persisted: list[DataFrame] = []
         self._written: str | None = None
-        window, often = survey(self.bundle.transactions, self.bundle.customers, days, anchor)
         windows, suffixes = [window], [""]
         if compare:
             windows.append(Window(window.anchor - timedelta(days=days), days))
@@ -273,25 +275,36 @@ class CustomerInsights(PeriodAnalysis):
 class InsightsMemo:
     """Remembers analyses by (days, anchor day), checked after loading and cleaning.
 
-    As long as the anchor day stays the same, changed data is not noticed; call ``clear``
-    after loading new data.
+    Tables that come from files are known by the listing of these files (path, length, time): unchanged
+    files give the remembered analysis without a job over the data, changed ones a new analysis, after
+    which the old one for the same window is released. Other tables are known by their anchor day
+    alone, so changed rows before it are not noticed; call ``clear`` then.
     """
 
     def __init__(self) -> None:
-        self._runs: dict[tuple[int, date], CustomerInsights] = {}
+        self._runs: dict[tuple, CustomerInsights] = {}
+        self._seen: dict[tuple, tuple[int, date]] = {}
 
     def get(
         self, bundle: TableBundle, days: int = fixed.DEFAULT_DAYS, **options
     ) -> CustomerInsights:
         """``options`` go to the analysis; they do not take part in the memory's key."""
-        formats = options.get("date_formats", ())
-        transactions = clean_bundle(bundle, formats).transactions
-        anchor = reporting_window(transactions, days).anchor.date()
-        if (days, anchor) not in self._runs:
-            self._runs[days, anchor] = CustomerInsights(bundle, days, anchor, **options)
-        return self._runs[days, anchor]
+        files = fingerprint(bundle.customers, bundle.transactions)
+        if files is not None and (days, files) in self._seen:
+            return self._runs[(*self._seen[days, files], files)]
+        look = first_look(bundle, days, options.get("anchor"), options.get("date_formats"))
+        key = (days, look.window.anchor.date(), files)
+        if key not in self._runs:
+            for old in [k for k in self._runs if k[0] == days and k[2] is not None and k[2] != files]:
+                self._runs.pop(old).release()
+                self._seen = {k: v for k, v in self._seen.items() if k != (days, old[2])}
+            self._runs[key] = CustomerInsights(bundle, days, **{**options, "anchor": look.window.anchor.date()})
+        if files is not None:
+            self._seen[days, files] = key[:2]
+        return self._runs[key]
 
     def clear(self) -> None:
         for run in self._runs.values():
             run.release()
         self._runs.clear()
+        self._seen.clear()

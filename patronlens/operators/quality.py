@@ -6,6 +6,15 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from patronlens.functions.parsing import parse_number, parse_timestamp
 from patronlens.fixed_values import TRANSACTION_REQUIRED
@@ -37,6 +46,65 @@ def profile(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
     )
 
 
+SHOWN = 64  # characters of the least and greatest text
+
+
+def _bounds(column: str, dtype: DataType) -> tuple[Column, Column]:
+    """(value as text, value as number) that least and greatest are taken of; null where neither fits."""
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    if isinstance(dtype, (NumericType, BooleanType)):
+        number = F.col(column).cast("double")
+    elif isinstance(dtype, StringType):
+        text = F.left(F.col(column), F.lit(SHOWN))
+    elif isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+        text = F.date_format(F.col(column), "yyyy-MM-dd HH:mm:ss")
+    return text, number
+
+
+def column_parts(df: DataFrame) -> DataFrame:
+    """A mergeable profile row for each column, from one aggregate over the table that its schema
+    gives: rows, nulls, a sketch of the distinct values, and bounds."""
+    sums = [F.count("*").alias("rows")]
+    for i, f in enumerate(df.schema):
+        text, number = _bounds(f"`{f.name}`", f.dataType)
+        given = F.col(f"`{f.name}`").isNotNull()
+        sums += [
+            F.count_if(~given).alias(f"nulls{i}"),
+            F.hll_sketch_agg(F.when(given, F.xxhash64(f"`{f.name}`"))).alias(f"sketch{i}"),
+            F.min(text).alias(f"lt{i}"), F.max(text).alias(f"gt{i}"),
+            F.min(number).alias(f"ln{i}"), F.max(number).alias(f"gn{i}"),
+        ]
+    each = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.col("rows"), F.col(f"nulls{i}").alias("nulls"), F.col(f"sketch{i}").alias("sketch"),
+            F.col(f"lt{i}").alias("least_text"), F.col(f"gt{i}").alias("greatest_text"),
+            F.col(f"ln{i}").alias("least_number"), F.col(f"gn{i}").alias("greatest_number"),
+        )
+        for i, f in enumerate(df.schema)
+    ]
+    return df.agg(*sums).select(F.inline(F.array(*each)))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One row for each column, from the parts of several pieces of a table, such as its days."""
+    return parts.groupBy("position", "column", "type").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.hll_union_agg("sketch").alias("sketch"),
+        F.min("least_text").alias("least_text"), F.max("greatest_text").alias("greatest_text"),
+        F.min("least_number").alias("least_number"), F.max("greatest_number").alias("greatest_number"),
+    )
+
+
+def column_profile(df: DataFrame, key: str | None = None) -> DataFrame:
+    """A row for each column; distinct values are estimated, those of ``key`` also counted exactly."""
+    parts = column_parts(df)
+    exact = profile(df, key).select("distinct_keys").scalar() if key else F.lit(None)
+    shown = parts.select(
+        *[c for c in parts.columns if c != "sketch"], F.hll_sketch_estimate("sketch").alias("distinct_estimate")
+    )
+    return shown.withColumn("distinct_keys", F.when(F.col("column") == F.lit(key), exact).cast("bigint"))
+
+
 def sample_rows(df: DataFrame, order: str, n: int = 5) -> DataFrame:
     """The first n rows by a column, so that the preview is the same on every run."""
     return df.orderBy(order).limit(n)
@@ -60,9 +128,13 @@ def cleaning_report(transactions: DataFrame, date_formats: Sequence[str] = ()) -
     """One row: rows, rows retained, their share, and exact duplicates among them.
 
     Equal rows collapse map-side before the shuffle, so a row repeated very often costs no
-    more than any other.
+    more than any other. What moves is a row's 128-bit hash, not the row.
     """
-    marked = transactions.withColumn("_usable", usable_transaction(transactions, date_formats))
+    values = [v for c in transactions.columns for v in (F.isnull(c), F.col(c))]  # hashing skips nulls
+    marked = transactions.select(
+        F.xxhash64(*values).alias("_a"), F.xxhash64(F.lit(1), *values).alias("_b"),
+        usable_transaction(transactions, date_formats).alias("_usable"),
+    )
     copies = marked.groupBy(*marked.columns).agg(F.count("*").alias("_copies"))
     kept = F.when(F.col("_usable"), F.col("_copies")).otherwise(0)
     removed = F.when(F.col("_usable"), F.col("_copies") - 1).otherwise(0)

@@ -12,6 +12,7 @@ from patronlens.operators import (
     alerts,
     anchor,
     anova,
+    answers,
     churn,
     clean,
     display,
@@ -35,6 +36,12 @@ QUERIES: dict[str, Query] = {}
 
 BUNDLES = {"orders": star.orders_bundle, "events": star.events_bundle}
 
+# All given tables.
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
+    " conversations"
+).split()
+
 # Decimals of the reported figures.
 MONEY, MEAN, FINE = 2, 4, 6
 
@@ -513,6 +520,24 @@ def question_answers_days(spark, folder):
     return answered.select("conv_id", "turn", "role", "days", "intent", "answer")
 
 
+@query
+def question_answers_significant(spark, folder):
+    """Tests that do find differences: messages ask for them, for a summary and for other things."""
+    topic = F.element_at(
+        F.array(*[F.lit(t) for t in ("", " any test?", " SIGNIFICANT", " retention")]),
+        (F.col("conv_id") % 4 + 1).cast("int"),
+    )
+    messages = star.table(spark, folder, "conversations").select(
+        "conv_id", "turn", "role", F.concat(F.col("role"), topic).alias("message")
+    )
+    run = analysis(spark, folder, "orders", scorer="rule")
+    tests, order = _banded_tests(spark, folder)
+    found = insight_rules.insights(run.features, tests, order)
+    context = answers.answer_context(run.base, run.window, run.facts, found, tests, order)
+    answered = answers.answer_questions(messages, context)
+    return answered.select("conv_id", "turn", "role", "intent", "answer")
+
+
 @query
 def response_json(spark, folder):
     return analysis(spark, folder, "orders").response()
@@ -717,6 +742,21 @@ def table_profiles(spark, folder):
     return combined
 
 
+@query
+def column_profiles(spark, folder):
+    """Every column of every given table, as its schema has it; the first column is the key. Estimates
+    of distinct values are left to tests, as no other engine gives the same."""
+    profiles = []
+    for name in TABLES:
+        df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+        found = quality.column_profile(df, df.columns[0]).drop("distinct_estimate")
+        profiles.append(found.select(F.lit(name).alias("table_name"), "*"))
+    combined = profiles[0]
+    for p in profiles[1:]:
+        combined = combined.unionByName(p)
+    return rounded(combined, {"least_number": MEAN, "greatest_number": MEAN})
+
+
 @query
 def table_preview(spark, folder):
     return quality.sample_rows(star.table(spark, folder, "customer"), "c_custkey")
@@ -753,9 +793,9 @@ def retained_orders(spark, folder):
     )
 
 
-def _alerts(spark, folder, mapping):
+def _alerts(spark, folder, mapping, **limits):
     run = analysis(spark, folder, mapping, scorer="rule")
-    found = alerts.churn_alerts(run.scored, high_value=run.thresholds.monetary_q75)
+    found = alerts.churn_alerts(run.scored, high_value=run.thresholds.monetary_q75, **limits)
     return rounded(found, TOP_DIGITS)
 
 
@@ -764,6 +804,12 @@ def churn_alerts(spark, folder):
     return _alerts(spark, folder, "orders")
 
 
+@query
+def churn_alerts_early(spark, folder):
+    """An early warning: valuable customers from a tenth of the longest absence on."""
+    return _alerts(spark, folder, "orders", threshold=0.1)
+
+
 @query
 def churn_alerts_events(spark, folder):
     return _alerts(spark, folder, "events")

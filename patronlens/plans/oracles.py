@@ -425,6 +425,40 @@ def answers(messages: str, extra: str = "") -> str:
   FROM routed, texts, p"""
 
 
+# Columns of the given tables: t text, n number, d time, o other; with the names that types have in reports.
+COLUMNS = {
+    "region": "r_regionkey n int, r_name t string",
+    "nation": "n_nationkey n int, n_name t string, n_regionkey n int",
+    "customer": "c_custkey n bigint, c_name t string, c_nationkey n int, c_acctbal n double, c_mktsegment t string",
+    "supplier": "s_suppkey n bigint, s_name t string, s_nationkey n int, s_acctbal n double",
+    "part": "p_partkey n bigint, p_name t string, p_brand t string, p_type t string, p_size n int, p_retailprice n double",
+    "orders": "o_orderkey n bigint, o_custkey n bigint, o_orderstatus t string, o_totalprice n double,"
+    " o_orderdate d timestamp_ntz, o_orderpriority t string",
+    "lineitem": "l_orderkey n bigint, l_partkey n bigint, l_suppkey n bigint, l_linenumber n int, l_quantity n double,"
+    " l_extendedprice n double, l_discount n double, l_tax n double, l_returnflag t string, l_linestatus t string,"
+    " l_shipdate d timestamp_ntz",
+    "events": "event_id n bigint, ts d timestamp_ntz, user_id n bigint, event_type t string, value n double, props t string",
+    "documents": "doc_id n bigint, text t string, lang t string, source t string, n_chars n bigint",
+    "embeddings": "vec_id n bigint, embedding o array<float>, label n int",
+    "pages": "page_id n bigint, url t string, html t string",
+    "benchmark": "item_id n bigint, text t string",
+    "labels": "doc_id n bigint, quality n int, toxic n int",
+    "conversations": "conv_id n bigint, turn n bigint, role t string, text t string",
+}
+
+
+def column_profile(table: str, columns: list[list[str]]) -> str:
+    parts = []
+    for i, (name, kind, dtype) in enumerate(columns):
+        text = {"t": f"left({name}, 64)", "d": f"strftime({name}, '%Y-%m-%d %H:%M:%S')"}.get(kind, "CAST(NULL AS VARCHAR)")
+        number = f"CAST({name} AS DOUBLE)" if kind == "n" else "CAST(NULL AS DOUBLE)"
+        keys = f"count(DISTINCT {name})" if i == 0 else "CAST(NULL AS BIGINT)"
+        parts.append(f"""SELECT '{table}' AS table_name, {i} AS position, '{name}' AS "column", '{dtype}' AS type,
+          count(*) AS rows, count(*) - count({name}) AS nulls, min({text}) AS least_text, max({text}) AS greatest_text,
+          round(min({number}), 4) AS least_number, round(max({number}), 4) AS greatest_number, {keys} AS distinct_keys FROM {table}""")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {}
 
@@ -471,6 +505,27 @@ def oracle_sql() -> dict[str, str]:
         sql[f"top_customers{suffix}"] = on_features(TOP, mapping)
         sql[f"facts{suffix}"] = on_kpis(FACTS, mapping)
         sql[f"churn_alerts{suffix}"] = on_features(ALERTS, mapping)
+    sql["churn_alerts_early"] = on_features(ALERTS.replace("0.75", "0.1"))
+    sql["question_answers_significant"] = f"""
+      WITH risk AS (WITH {feature_ctes("orders")}, {kpi_cte()}
+        SELECT format('Retention rate: {{:.1f}}%', "retentionRate" * 100) AS ret,
+               {AT_RISK_SHARE} >= 0.15 AS sizable, {EVIDENCE} AS evidence, {ACTION} AS action FROM kpi),
+      found AS ({anova_ctes(SPEND_BANDS)} SELECT test, p FROM t WHERE p < 0.05),
+      ordered AS (SELECT test, p, row_number() OVER (ORDER BY place) AS k
+                  FROM found JOIN (VALUES {", ".join(f"('{n}', {i})" for i, n in enumerate(SPEND_BANDS))}) v(test, place) USING (test)),
+      bullets AS (
+        SELECT CASE WHEN sizable THEN '- At-risk segment is sizable: ' || evidence || ' Action: ' || action || ' ' ELSE '' END
+          || (SELECT string_agg('- Statistically significant pattern detected: ' || format('{{}} (p={{:.4f}}).', test, p)
+                || ' Action: Use this segment dimension when designing offers or UX changes.', ' ' ORDER BY k)
+              FROM ordered WHERE k <= CASE WHEN sizable THEN 2 ELSE 3 END) AS text FROM risk),
+      msg AS (SELECT conv_id, turn, role,
+                lower(trim(role || ['', ' any test?', ' SIGNIFICANT', ' retention'][conv_id % 4 + 1])) AS m FROM conversations),
+      routed AS (SELECT *, CASE WHEN contains(m, 'retention') THEN 'retention'
+                   WHEN contains(m, 'test') OR contains(m, 'significant') THEN 'test' ELSE 'summary' END AS intent FROM msg)
+      SELECT conv_id, turn, role, intent, CASE intent WHEN 'retention' THEN ret
+          WHEN 'test' THEN (SELECT format('{{}} was significant (p={{:.4f}}).', test, p) FROM ordered WHERE k = 1)
+          ELSE 'Here are the top insights for the last 30 days: ' || bullets.text END AS answer
+      FROM routed, risk, bullets"""
     # The order-value test is not significant for either mapping, so one rule can fire.
     sql["insights"] = f"""WITH {feature_ctes("orders")},
       p AS (SELECT min(p) AS p FROM ({anova_ctes(DEVICE_TEST)} SELECT p FROM t))
@@ -706,6 +761,9 @@ def oracle_sql() -> dict[str, str]:
             profile("customer", "c_custkey", None, 5),
         ]
     )
+    sql["column_profiles"] = " UNION ALL ".join(
+        column_profile(name, [c.split() for c in columns.split(", ")]) for name, columns in COLUMNS.items()
+    )
     sql["table_preview"] = "SELECT * FROM customer ORDER BY c_custkey LIMIT 5"
     sql["cleaning_report"] = f"""WITH {DIRTY},
       exported AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE repeated),

@@ -167,3 +167,32 @@ def test_changes_and_retention(spark):
     rows = [("x", 1), ("x", 2), ("y", 5)]
     kept = retention_by_segment(spark.createDataFrame(rows, "segment string, frequency bigint"))
     assert {r["segment"]: r["retentionRate"] for r in kept.collect()} == {"x": 0.5, "y": 1.0}
+
+
+def test_column_profile_follows_the_schema_and_merges(spark):
+    rows = spark.range(20_000).selectExpr(
+        "id", "IF(id % 4 = 0, NULL, concat('name ', id % 1000)) AS name", "id % 7 = 0 AS flag",
+        "array(id) AS list", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 10 AS int)) AS at",
+        "IF(id = 5, NULL, id / 2) AS `odd name`",
+    )
+    found = {r["column"]: r for r in quality.column_profile(rows, "id").collect()}
+    assert [found[c]["nulls"] for c in ("id", "name", "flag", "list", "at", "odd name")] == [0, 5000, 0, 0, 0, 1]
+    assert found["id"]["distinct_keys"] == 20_000 and found["name"]["distinct_keys"] is None
+    assert abs(found["id"]["distinct_estimate"] - 20_000) < 1000 and abs(found["name"]["distinct_estimate"] - 750) < 40
+    assert (found["name"]["least_text"], found["name"]["greatest_text"]) == ("name 1", "name 999")
+    assert (found["odd name"]["least_number"], found["odd name"]["greatest_number"]) == (0, 9999.5)
+    assert found["at"]["greatest_text"] == "2024-01-10 00:00:00" and found["list"]["least_text"] is None
+    parts = [quality.column_parts(rows.filter(f"id % 3 = {i}")) for i in range(3)]
+    merged = quality.merged_parts(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    whole = quality.column_parts(rows)
+    plain = lambda df: sorted(map(tuple, df.drop("sketch").collect()))
+    assert plain(merged) == plain(whole)
+    empty = quality.column_profile(rows.limit(0), "id").collect()
+    assert {(r["rows"], r["nulls"], r["distinct_estimate"]) for r in empty} == {(0, 0, 0)}
+
+
+def test_rows_that_differ_in_where_a_null_stands_are_no_duplicates(spark):
+    schema = "order_id string, customer_id string, order_datetime string, total_amount string, a string, b string"
+    base = ("1", "c", "2024-01-01", "5")
+    rows = [(*base, "x", None), (*base, None, "x"), (*base, None, "x"), (*base, None, None)]
+    assert quality.cleaning_report(spark.createDataFrame(rows, schema)).head()["duplicates"] == 1

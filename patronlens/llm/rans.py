@@ -147,23 +147,37 @@ def decode_block(
 def _id_blocks(
     batches: Iterator[pa.RecordBatch], path: str, block_ids: int, names: list[str]
 ) -> Iterator[pa.RecordBatch]:
-    """Sorted (doc_id, text) of one task to blocks of whole documents, ids not yet coded."""
+    """Sorted (doc_id, text) of one task to blocks of whole documents, ids not yet coded.
+
+    How often the task has seen each id comes in a last row, block -1, which holds no documents.
+    """
     encode, end = encoder(path).encode, np.asarray([END_ID], "<u4").tobytes()
     part, block, at = TaskContext.get().partitionId(), 0, 0
     kept: list[pa.Array] = []
     held: list[bytes] = []
     lengths: list[int] = []
+    counts = np.zeros(0, np.int64)
 
-    def flush(type_: pa.DataType) -> pa.RecordBatch:
+    def row_of(type_: pa.DataType, number: int, data: bytes, seen: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         doc_ids = pa.concat_arrays(kept) if kept else pa.array([], type_)
         columns = [
-            pa.array([part]), pa.array([block]), pa.array([at]), pa.array([sum(lengths)]),
+            pa.array([part]), pa.array([number]), pa.array([at]), pa.array([sum(lengths)]),
             pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), doc_ids),
             pa.array([lengths], pa.list_(pa.int64())),
-            pa.array([b"".join(held)], pa.binary()),
+            pa.array([data], pa.binary()),
+            pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), pa.array(seen, pa.int64())),
+            pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n, pa.int64())),
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    def flush(type_: pa.DataType) -> pa.RecordBatch:
+        nonlocal counts
+        data, none = b"".join(held), np.empty(0, np.int64)
+        more = np.bincount(np.frombuffer(data, "<u4"), minlength=len(counts))
+        more[: len(counts)] += counts
+        counts = more
+        return row_of(type_, block, data, none, none)
+
     size, type_ = 0, pa.int64()
     for batch in batches:
         doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
@@ -184,17 +198,10 @@ def _id_blocks(
             kept.append(doc_ids.slice(begun))
     if lengths:
         yield flush(type_)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column("ids"):
-            more = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(counts))
-            more[: len(counts)] += counts
-            counts = more
+        kept, lengths = [], []
     ids = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
+    if len(ids):
+        yield row_of(type_, -1, b"", ids, counts[ids])
 
 
 def write_ids(
@@ -213,6 +220,7 @@ def write_ids(
     for name in ("part", "block", "at", "n"):
         schema.add(name, LongType())
     schema.add("doc_ids", ArrayType(id_type)).add("lengths", ArrayType(LongType())).add("ids", BinaryType())
+    schema.add("seen", ArrayType(LongType())).add("times", ArrayType(LongType()))
     names = schema.names
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +228,12 @@ def write_ids(
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    blocks = stored(ordered.mapInArrow(to_blocks, schema))
+    written = stored(ordered.mapInArrow(to_blocks, schema))
+    blocks = written.where("block >= 0").drop("seen", "times")
 
     # One row for each id of the vocabulary: bounded, whatever the corpus.
-    counted = blocks.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
+    each = written.where("block < 0").select(F.inline(F.arrays_zip("seen", "times")))
+    found = each.groupBy(F.col("seen").alias("id")).agg(F.sum("times").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     freq = quantised(counts)
@@ -241,7 +250,7 @@ def write_ids(
                 payload = encode_block(ids, table, lanes, checkpoint)
                 yield one.drop_columns(["ids"]).append_column("payload", pa.array([payload], pa.binary()))
 
-    coded = StructType([f for f in schema.fields if f.name != "ids"]).add("payload", BinaryType())
+    coded = StructType([f for f in blocks.schema if f.name != "ids"]).add("payload", BinaryType())
     blocks.mapInArrow(to_payload, coded).write.option("compression", "none").parquet(f"{folder}/blocks")
     # One row for each task that wrote: a handful against the documents, so one window does.
     parts = blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()

@@ -20,7 +20,8 @@ import pyarrow as pa
 
 #: The id that ends each document.
 END_ID = 1
-#: Pieces kept per worker; when there are more the table starts anew, so memory is bounded.
+#: Pieces in a worker's table; a full one becomes the older table, out of which pieces that occur again
+#: are taken over, so memory is bounded and frequent pieces stay.
 CACHE_ENTRIES = 300_000
 # Letters that keep their ids when they are put in lower case beforehand, and a sign after them.
 WORD_AND_SIGN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,]?)").fullmatch
@@ -49,9 +50,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.by_piece = splits_at_space(json.load(file))
+            content = json.load(file)
+        self.by_piece = splits_at_space(content)
+        self.simple = WORD_AND_SIGN if merges_simple_words(content) else lambda piece: None
         self.cache: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.signs = dict(zip(["", ".", ","], [b"", *self._ids([".", ","])]))
 
     def encode(self, text: str) -> bytes:
@@ -59,37 +62,56 @@ class Encoder:
             return self._ids([text])[0]
         pieces = text.replace("\n", " ").split(" ")
         cache = self.cache
-        try:
-            return b"".join([cache[piece] for piece in pieces])
-        except KeyError:
-            self._learn({piece for piece in pieces if piece not in cache}, pieces)
-            return b"".join([self.cache[piece] for piece in pieces])
+        new = set(pieces).difference(cache)
+        if new:
+            if len(cache) > CACHE_ENTRIES:
+                self.older, self.cache = cache, {"": b""}
+                cache, new = self.cache, set(pieces) - {""}
+            self._learn(new)
+        return b"".join([cache[piece] for piece in pieces])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn(self, new: set[str], pieces: list[str]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache, new = {"": b""}, set(pieces) - {""}
-        if len(self.letters) > CACHE_ENTRIES:
-            self.letters = {}
+    def _learn(self, new: set[str]) -> None:
         # A word of simple letters goes to the merging step at once, and the sign after it follows;
         # all else goes through every step of the tokenizer.
-        letters, merge, other = self.letters, self.tokenizer.model.tokenize, []
+        cache, older, simple = self.cache, self.older, self.simple
+        merge, other = self.tokenizer.model.tokenize, []
         for piece in new:
-            simple = WORD_AND_SIGN(piece)
-            if simple is None:
-                other.append(piece)
-                continue
-            word, sign = simple.groups()
-            word = word.lower()
-            ids = letters.get(word)
+            ids = older.get(piece)
             if ids is None:
-                signs = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
-                ids = letters[word] = array("I", [t.id for t in merge(signs)]).tobytes()
-            self.cache[piece] = ids + self.signs[sign]
-        self.cache.update(zip(other, self._ids(other)))
+                found = simple(piece)
+                if found is None:
+                    other.append(piece)
+                    continue
+                word, sign = found.groups()
+                low = word.lower()
+                if sign or low != piece:
+                    ids = cache.get(low) or older.get(low)
+                if ids is None:
+                    letters = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_SIGNS)
+                    ids = cache[low] = array("I", [t.id for t in merge(letters)]).tobytes()
+                ids += self.signs[sign]
+            cache[piece] = ids
+        if other:
+            cache.update(zip(other, self._ids(other)))
+
+
+def merges_simple_words(file: dict) -> bool:
+    """Whether a word of plain letters only meets composition and lower case before bytes are merged."""
+    steps = (file.get("normalizer") or {}).get("normalizers") or []
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    first, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    return (
+        file["model"]["type"] == "BPE"
+        and all(step == spaces or step in ({"type": "NFC"}, {"type": "Lowercase"}) for step in steps)
+        and r"[\p{L}]+" in (first.get("pattern") or {}).get("Regex", "")
+        and len(rest) == 1
+        and all(rest[0].get(key) == value for key, value in bytes_only.items())
+    )
 
 
 def splits_at_space(file: dict) -> bool:

@@ -5,23 +5,27 @@ documents: a node picks one or two positions (1 / similarity on average) by hash
 a child holds the documents that agree in the value there. Which nodes a document passes follows
 from its own values alone, so `step` levels are expanded at once without moving any text.
 
-Texts with equal sets are one class from the start. In every round nodes with one class or one
-component are dropped; in the others
-  1. a few classes of the node are compared with all others, and links are confirmed on the full
-     sets; this joins large groups of near copies by a number of pairs that is linear in them;
-  2. nodes of up to `small` classes compare all pairs that are not yet in one component;
-  3. larger nodes branch further, each with several independent trees of its own, as pairs die out
-     on the way down a single one. At the last level they are compared in blocks.
-Candidates are screened by two bits of each minwise value before the full sets are read; only sets of
-documents in a candidate are made again from the text.
+Texts with equal sets are one class from the start. In every round
+  1. nodes of up to `small` classes compare all pairs by sketches (two bits of each of 256 minwise
+     values), in passes: a class gives the pair with the one most alike to it in its node, then those with the
+     4 most alike, then all that are left. After each pass the pairs are confirmed on the full sets, and
+     classes of one label are not paired again, so a group of near copies is joined by
+     about as many pairs as it has members. What is left then are pairs that are nearly similar enough,
+     which sketches of 2,048 values tell apart;
+  2. larger nodes, of which there are few, are compared with a few classes of their own, which joins
+     large groups of near copies by a number of pairs that is linear in them;
+  3. what is not one group then branches further, each node with several independent trees of its own, as
+     pairs die out on the way down a single one. At the last level nodes are compared in blocks.
+Members of large nodes meet their few nodes where they are, so a crowded node never fills a task. Components
+are found once, at the end.
 
 The numbers of trees are set so that two sets at exactly the threshold (0.8) share a node with a
 probability of more than 0.999 at every level, down to the last (`recall` gives it). Further
 levels only happen in crowded nodes.
 
 Defined results: a text without words, or null, has an empty set and links with nothing, and
-neither does a row with null id; both are kept. Rows that share an id are one vertex for
-components. No rows give no rows. Other columns are not read.
+neither does a row with null id; both are kept. Ids may be of any type that can be ordered. Rows that
+share an id are one vertex for components. No rows give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,60 +36,93 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from patronlens.llm.common import stored
 from patronlens.llm.graph import connected_components, in_blocks, runs
 from patronlens.llm.shingles import MinHash, fingerprint, mixed, shingle_sets
+from patronlens.operators.joins import join_unique
 
 WORDS = 5
 PERCENT = 80
 TREES = 12
 STEP = 3
 ROUNDS = 5
-SMALL = 1024
+SMALL = 1 << 14
 #: Pairs at the threshold should share a node of the last level at least this often.
 RECALL = 0.999
 #: Classes of a node that all its others are compared with first.
 PIVOTS = 3
-BLOCK = 512
+#: Rounds in which linked classes take over the least label, and the label of that one, before each pass.
+LABEL_ROUNDS = 3
+#: Pairs that a class gives in each pass over its node; the last takes all that a small node can have.
+WIDTHS = (1, 4, SMALL)
+#: Rows of a node that are compared with all others at a time.
+CHUNK = 256
 POSITIONS = 64
+SKETCHED, FINE = 256, 2048
+#: Passes over a node after which its members get the finer sketches.
+FINE_AFTER = 2
 SEED = 97
-#: Ids of candidates are broadcast up to this number; beyond it texts are shuffled to them.
+#: Ids of candidates, and large nodes, are broadcast up to this number; beyond it rows are shuffled to them.
 BROADCAST_IDS = 2_000_000
-#: Documents whose sets are made at once.
-GROUP = 512
+BROADCAST_NODES = 100_000
+#: Documents, and bytes of text, whose sets are made at once; a single longer text is taken whole.
+GROUP, GROUP_BYTES = 512, 8 << 20
+
+
+def _pieces(whole: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(whole.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    first = 0
+    while first < whole.num_rows:
+        limit = (ends[first - 1] if first else 0) + GROUP_BYTES
+        count = min(GROUP, max(1, int(np.searchsorted(ends, limit, "right")) - first))
+        yield whole.slice(first, count)
+        first += count
+
+
+def _sketch(values: np.ndarray) -> list[bytes]:
+    """Two bits of each minwise value: the lower ones of all positions, then the higher ones."""
+    bits = [np.packbits((values & np.uint32(bit)).astype(bool), axis=1) for bit in (1, 2)]
+    return [row.tobytes() for row in np.concatenate(bits, axis=1)]
 
 
 def _signatures(words: int):
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Size, fingerprint and minwise values of each document's set."""
-        minhash = MinHash(POSITIONS, SEED)
+        """Size, fingerprint, minwise values and sketch of each document's set."""
+        minhash = MinHash(SKETCHED, SEED)
         for whole in batches:
-            for first in range(0, whole.num_rows, GROUP):
-                batch = whole.slice(first, GROUP)
+            for batch in _pieces(whole, "text"):
                 sets = shingle_sets(batch.column("text").to_pylist(), words)
                 prints = [fingerprint(s) for s in sets]
                 values = minhash(sets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                     pa.array([v.tobytes() for v in values], pa.binary())],
-                    names=["id", "n", "print_a", "print_b", "signature"],
+                     pa.array([v.tobytes() for v in values[:, :POSITIONS]], pa.binary()),
+                     pa.array(_sketch(values), pa.binary())],
+                    names=["id", "n", "print_a", "print_b", "signature", "sketch"],
                 )
 
     return signed
 
 
+def _key(shingles: np.ndarray) -> str:
+    """What names a class: fingerprint and size of its set."""
+    return "%d %d " % fingerprint(shingles) + str(len(shingles))
+
+
 def with_print(docs: DataFrame, name: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
     """docs with the fingerprint of each text's set of shingles."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, GROUP):
-                batch = whole.slice(first, GROUP)
+            for batch in _pieces(whole, text_col):
                 sets = shingle_sets(batch.column(text_col).to_pylist(), words)
                 prints = pa.array(["%d %d" % fingerprint(s) for s in sets], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, name])
@@ -120,7 +157,7 @@ def trees_again(percent: int, trees: int, rounds: int = ROUNDS) -> int:
 
 
 def _expand(step: int, trees: int, percent: int):
-    """Rows of (node or none, rep, n, signature) to the nodes `step` levels further down.
+    """Rows of (node or none, rep, n, signature, sketch) to the nodes `step` levels further down.
 
     `trees` trees begin at each node, or at the common root if there is none.
     """
@@ -152,149 +189,223 @@ def _expand(step: int, trees: int, percent: int):
                         )
                         token = signature[row, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32))
                         node = mixed(node * np.uint64(3) + mixed(token + np.uint64(1)))
-                # Two bits of each value, as two words of 64 bits.
-                low = np.packbits((signature & 1).astype(bool), axis=1).view(np.int64).ravel()
-                high = np.packbits((signature & 2).astype(bool), axis=1).view(np.int64).ravel()
+                kept = [c for c in ("rep", "n", "sketch") if c in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node.view(np.int64)), batch.column("rep").take(pa.array(row)),
-                     batch.column("n").take(pa.array(row)), pa.array(low[row]), pa.array(high[row])],
-                    names=["node", "rep", "n", "low", "high"],
+                    [pa.array(node.view(np.int64)), *[batch.column(c).take(pa.array(row)) for c in kept]],
+                    names=["node", *kept],
                 )
 
     return expanded
 
 
-def least_agreement(percent: int) -> int:
+def least_agreement(percent: int, positions: int) -> int:
     """Positions whose two bits agree, at least, for a pair at the threshold: five deviations off."""
     p = percent / 100 + (1 - percent / 100) / 4
-    return int(POSITIONS * p - 5 * np.sqrt(POSITIONS * p * (1 - p)))
-
-
-def _alike(percent: int) -> Column:
-    """Whether sizes and sketches of a member and a pivot of its node allow the similarity."""
-    return F.expr(
-        f"100 * least(n, first.n) >= {percent} * greatest(n, first.n)"
-        f" AND bit_count((low ^ first.low) | (high ^ first.high)) <= {POSITIONS - least_agreement(percent)}"
-    )
-
-
-def _small_pairs(percent: int):
+    return int(positions * p - 5 * np.sqrt(positions * p * (1 - p)))
+
+
+class _Sketches:
+    """Members of a node: which pairs of them can be links, by size and sketch."""
+
+    def __init__(self, n: np.ndarray, sketch: list[bytes], percent: int) -> None:
+        self.n, self.percent = n, percent
+        words = np.frombuffer(b"".join(sketch), np.uint64).reshape(len(n), -1)
+        half = words.shape[1] // 2
+        self.low, self.high, self.positions = words[:, :half], words[:, half:], 64 * half
+        self.weak = POSITIONS - least_agreement(percent, POSITIONS)
+        self.strong = self.positions - least_agreement(percent, self.positions)
+
+    def fit(self, rows: slice, others: slice) -> np.ndarray:
+        """By the first 64 positions, rows x others."""
+        unlike = self.low[rows, 0][:, None] ^ self.low[others, 0]
+        unlike |= self.high[rows, 0][:, None] ^ self.high[others, 0]
+        return np.bitwise_count(unlike) <= self.weak
+
+    def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many positions pairs differ; all where sizes forbid the similarity."""
+        a, b = self.n[i], self.n[j]
+        total = np.full(len(i), self.positions, np.uint16)
+        ok = 100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)
+        i, j = i[ok], j[ok]
+        found = np.zeros(len(i), np.uint16)
+        for k in range(self.low.shape[1]):
+            found += np.bitwise_count((self.low[i, k] ^ self.low[j, k]) | (self.high[i, k] ^ self.high[j, k]))
+        total[ok] = found
+        return total
+
+
+def candidates(
+    sketches: _Sketches, label: np.ndarray, apart: np.ndarray | None = None, width: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs (i, j) of a node's members, j < i, to be confirmed, and whether more are left.
+
+    Pairs of one label are known to be together. `apart` holds blocks; if given, only pairs of
+    different blocks count, as the others meet elsewhere. Each i gives the `width` pairs that are
+    most alike.
+    """
+    m = len(label)
+    for start in range(0, m, CHUNK):
+        end = min(start + CHUNK, m)
+        ok = sketches.fit(slice(start, end), slice(0, end))
+        ok &= np.arange(end) < np.arange(start, end)[:, None]
+        ok &= label[start:end, None] != label[:end]
+        if apart is not None:
+            ok &= apart[start:end, None] != apart[:end]
+        i, j = np.nonzero(ok)
+        i += start
+        unlike = sketches.unlike(i, j)
+        alike = unlike <= sketches.strong
+        i, j, unlike = i[alike], j[alike], unlike[alike]
+        if width is None:
+            yield i, j, False
+            continue
+        order = np.lexsort((unlike, i))
+        i, j = i[order], j[order]
+        near = np.arange(len(i)) - np.searchsorted(i, i) < width
+        yield i[near], j[near], not near.all()
+
+
+def _pairs(percent: int, width: int | None):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a block in different components whose sizes and sketches allow a link."""
-        agree = least_agreement(percent)
+        """Candidates (a, b, node) of members (node, rep, n, sketch, label, own, block_a, block_b).
+
+        A row without a and b names a node that has more.
+        """
         for table, groups in runs(batches, ["node", "block_a", "block_b"]):
-            rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
-            component, own = table["component"].to_numpy(), table["own"].to_numpy()
-            first_block, last_block = table["block_a"].to_numpy(), table["block_b"].to_numpy()
-            all_low, all_high = table["low"].to_numpy(), table["high"].to_numpy()
-            found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for first, end in groups:
                 if end - first < 2:
                     continue
-                low, high = all_low[first:end], all_high[first:end]
-                unlike = (low[:, None] ^ low) | (high[:, None] ^ high)
-                size, part = n[first:end], component[first:end]
-                ok = POSITIONS - np.bitwise_count(unlike.view(np.uint64)).astype(np.int64) >= agree
-                ok &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
-                ok &= (part[:, None] != part) & (rep[first:end, None] < rep[first:end])
-                if first_block[first] != last_block[first]:
-                    ok &= own[first:end, None] != own[first:end]
-                i, j = np.nonzero(ok)
-                if len(i):
-                    found_a.append(rep[first + i])
-                    found_b.append(rep[first + j])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"]
-            )
+                rows = table.slice(first, end - first)
+                label = rows["label"].to_numpy()
+                if (label == label[0]).all():
+                    continue
+                rep, node = rows["rep"].to_numpy(), rows["node"][0].as_py()
+                order = np.argsort(mixed(rep.view(np.uint64)))  # the same in all nodes
+                rows, rep, label = rows.take(pa.array(order)), rep[order], label[order]
+                several = rows["block_a"][0] != rows["block_b"][0]
+                sketches = _Sketches(rows["n"].to_numpy(), rows["sketch"].to_pylist(), percent)
+                more = False
+                for i, j, left in candidates(sketches, label, rows["own"].to_numpy() if several else None, width):
+                    more = more or left
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])),
+                             pa.array(np.full(len(i), node))],
+                            names=["a", "b", "node"],
+                        )
+                if more:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([node])], names=["a", "b", "node"]
+                    )
 
     return compared
 
 
-_MEMBERS = "node long, rep long, n long, low long, high long"
+def _with_pivots(percent: int):
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of a member (rep, n, sketch) and a pivot (first, first_n, first_sketch) that can be links."""
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n", "first_n")])
+            sketches = _Sketches(n, batch.column("sketch").to_pylist() + batch.column("first_sketch").to_pylist(), percent)
+            ok = sketches.unlike(np.arange(m), np.arange(m, 2 * m)) <= sketches.strong
+            a, b = (batch.column(c).to_numpy()[ok] for c in ("rep", "first"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return compared
+
+
+_MEMBERS = "node long, rep long, n long, sketch binary"
+_FOUND = "a long, b long, node long"
 
 
 class _Join:
-    """One run: the documents, their classes, and the links confirmed so far."""
+    """One run: the texts, their classes, and the links confirmed so far."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int) -> None:
-        self.docs, self.words, self.percent = docs, words, percent
-        self.new: list[DataFrame] = []  # links that the components do not know yet
-        self.components: DataFrame | None = None
+    def __init__(self, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> None:
+        self.texts, self.classes, self.words, self.percent = texts, classes, words, percent
+        self.links: list[DataFrame] = []
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Adds the pairs that hold on the full sets to the links."""
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-        count = ids.count()
-        if not count:
-            return
-        wanted = F.broadcast(ids) if count <= BROADCAST_IDS else ids
-        texts = self.docs.join(wanted, F.col("id") == F.col("a"), "left_semi")
-        words = self.words
+        """Keeps the pairs that hold on the full sets as links."""
+        pairs = stored(pairs.select("a", "b").distinct())
+        ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
 
-        def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for first in range(0, whole.num_rows, GROUP):
-                    batch = whole.slice(first, GROUP)
-                    sets = shingle_sets(batch.column("text").to_pylist(), words)
-                    ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                    values = pa.array(np.concatenate([s.view(np.int64) for s in sets] or [np.empty(0, np.int64)]))
-                    prints = pa.array([fingerprint(s)[0] for s in sets], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id"), prints, pa.ListArray.from_arrays(pa.array(ends), values)],
-                        names=["of", "print", "shingles"],
-                    )
+        def lists(sets: list[np.ndarray]) -> pa.Array:
+            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            values = np.concatenate([s.view(np.int64) for s in sets] or [np.empty(0, np.int64)])
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
-        made = texts.mapInArrow(to_sets, "of long, print long, shingles array<long>")
-        # Repeated rows of an id give its set once.
-        sets = stored(made.groupBy("of", "print").agg(F.any_value("shingles").alias("shingles")).drop("print"))
+        sets = self._of_classes(ends, lists, "shingles array<long>")
+        if sets is None:
+            return
         with_b = pairs.join(sets, F.col("b") == F.col("of")).select("a", "b", F.col("shingles").alias("set_b"))
         both = with_b.join(sets, F.col("a") == F.col("of")).select("a", "b", "set_b", F.col("shingles").alias("set_a"))
         common = F.size(F.array_intersect("set_a", "set_b"))
         held = both.select("a", "b", common.alias("c"), (F.size("set_a") + F.size("set_b")).alias("total")).where(
             100 * F.col("c") >= self.percent * (F.col("total") - F.col("c"))
         )
-        self.new.append(stored(held.select("a", "b")))
+        self.links.append(stored(held.select("a", "b")))
+
+    def _of_classes(self, ends: DataFrame, make, column: str) -> DataFrame | None:
+        """(of, column) for the classes in `ends`, made from the sets of their texts; None for no classes."""
+        known = self.classes.select("least", F.col("rep").alias("a"), "key")
+        wanted = stored(known.join(ends, "a").select("least", F.col("a").alias("of"), "key"))
+        count = wanted.count()
+        if not count:
+            return None
+        wanted = F.broadcast(wanted) if count <= BROADCAST_IDS else wanted
+        texts = self.texts.join(wanted, F.col("id") == F.col("least")).select("of", "key", "text")
+        words, name = self.words, column.split()[0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in _pieces(whole, "text"):
+                    sets = shingle_sets(batch.column("text").to_pylist(), words)
+                    # An id may have several texts; a class is asked for that of its own set.
+                    own = [at for at, s in enumerate(sets) if _key(s) == batch.column("key")[at].as_py()]
+                    of = batch.column("of").take(pa.array(own, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([of, make([sets[at] for at in own])], names=["of", name])
 
-    def links(self) -> DataFrame | None:
-        """Links with the same components as all confirmed so far: each class hangs on its component."""
-        parts = list(self.new)
-        if self.components is not None:
-            parts.append(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        made = texts.mapInArrow(run, f"of long, {column}")
+        # Repeated rows of an id give its set once.
+        return stored(made.groupBy("of").agg(F.any_value(name).alias(name)))
 
-    def join(self) -> None:
-        """Finds the components anew if there are new links."""
-        if self.new:
-            self.components = stored(connected_components(self.links()))
-            self.new = []
+    def finer(self, members: DataFrame) -> DataFrame:
+        """members with sketches of more positions, which tell apart what is nearly similar enough."""
+        minhash = MinHash(FINE, SEED)
+        made = self._of_classes(
+            members.select(F.col("rep").alias("a")).distinct(), lambda sets: pa.array(_sketch(minhash(sets)), pa.binary()), "fine binary"
+        )
+        joined = members.join(made.withColumnRenamed("of", "rep"), "rep")
+        return joined.select("node", "rep", "n", F.col("fine").alias("sketch"))
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        if self.components is None:
-            return members.withColumn("component", F.col("rep"))
-        found = self.components.select(F.col("node").alias("of_rep"), F.col("component").alias("found"))
-        joined = members.join(found, F.col("rep") == F.col("of_rep"), "left")
-        return joined.withColumn("component", F.coalesce("found", "rep")).drop("of_rep", "found")
-
-
-def _crowded(members: DataFrame) -> DataFrame:
-    """members of nodes with more than one component, with the node's size and pivots."""
-    nodes = members.groupBy("node").agg(
-        F.count("*").alias("size"),
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        *[
-            # The order by hash is the same in all nodes, so nodes share their pivots.
-            F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), "rep", "n", "low", "high")).alias(f"p{k}")
-            for k in range(PIVOTS)
-        ],
-    ).where("low < high").select(
-        F.col("node").alias("of_node"), "size",
-        F.array_distinct(F.array(*[
-            F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("rep", "n", "low", "high")]) for k in range(PIVOTS)
-        ])).alias("pivots"),
-    )
-    return members.join(nodes, F.col("node") == F.col("of_node")).drop("of_node")
+        """members with a label that linked ones share, the least class that a few rounds of taking over the
+        least label of their links have brought; classes that are far apart may keep different ones."""
+        if not self.links:
+            return members.withColumn("label", F.col("rep"))
+        links = reduce(DataFrame.unionByName, self.links)
+        each = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = stored(links.select(each.alias("x")).select("x.*").distinct())
+        known = both.groupBy(F.col("a").alias("of")).agg(F.least("of", F.min("b")).alias("found"))
+        for _ in range(LABEL_ROUNDS):
+            near = both.join(known.withColumnRenamed("of", "b"), "b").groupBy(F.col("a").alias("of"))
+            near = near.agg(F.min("found").alias("near"))
+            beyond = known.select(F.col("of").alias("near"), F.col("found").alias("far"))
+            known = stored(near.join(beyond, "near").select("of", F.least("near", "far").alias("found")))
+        joined = members.join(known.withColumnRenamed("of", "rep"), "rep", "left")
+        return joined.withColumn("label", F.coalesce("found", "rep")).drop("found")
+
+    def compare(self, members: DataFrame, width: int | None) -> DataFrame:
+        """Candidates of members with label, own and blocks, which lie side by side."""
+        return stored(members.mapInArrow(_pairs(self.percent, width), _FOUND))
+
+
+def _side_by_side(members: DataFrame) -> DataFrame:
+    """Each node as one block."""
+    one = members.withColumns({c: F.lit(0) for c in ("own", "block_a", "block_b")})
+    return one.repartition("node").sortWithinPartitions("node")
 
 
 def near_duplicates(
@@ -310,48 +421,89 @@ def near_duplicates(
     schema = StructType().add("id", docs.schema[id_col].dataType)
     for name in ("n", "print_a", "print_b"):
         schema.add(name, "long")
-    schema.add("signature", "binary")
+    schema.add("signature", "binary").add("sketch", "binary")
     rows = stored(texts.mapInArrow(_signatures(words), schema))
-    usable = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    # Rows that share an id count as one text each; the set of a class is that of its members.
-    classes = stored(
-        usable.groupBy("print_a", "print_b", "n").agg(
-            F.min("id").alias("rep"), F.any_value("signature").alias("signature")
-        )
+    has_set = F.col("id").isNotNull() & (F.col("n") > 0)
+    key = F.concat_ws(" ", "print_a", "print_b", "n").alias("key")
+    usable = rows.where(has_set).select("id", "n", key)
+    # The set of a class is that of its members; classes are numbered, whatever the type of ids.
+    grouped = rows.where(has_set).groupBy("print_a", "print_b", "n").agg(
+        F.min("id").alias("least"), F.any_value("signature").alias("signature"), F.any_value("sketch").alias("sketch")
     )
-    join = _Join(texts.where(F.col("id").isNotNull()), words, percent)
-    reps = classes.select("rep", "n", "signature")
+    classes = stored(grouped.select(key, "n", "least", "signature", "sketch", F.monotonically_increasing_id().alias("rep")))
+    # An id with several texts ties their classes together.
+    several = usable.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    reps = classes.select("rep", "n", "signature", "sketch")
+    join = _Join(texts.where(F.col("id").isNotNull()), classes, words, percent)
     frontier = reps.mapInArrow(_expand(STEP, trees, percent), _MEMBERS)
     again = trees_again(percent, trees)
     for round_no in range(ROUNDS):
         last = round_no == ROUNDS - 1
-        crowded = stored(_crowded(join.labelled(frontier)))
-        tried = crowded.select("rep", "n", "low", "high", F.explode("pivots").alias("first"))
-        pivot = tried.where("rep != first.rep").where(_alike(percent))
-        join.confirm(pivot.select(F.col("rep").alias("a"), F.col("first.rep").alias("b")))
-        join.join()
-        rest = join.labelled(crowded.drop("component", "size", "pivots"))
-        rest = stored(_crowded(rest).drop("pivots"))
-        small = rest if last else rest.where(F.col("size") <= SMALL)
-        blocks = in_blocks(small.drop("size"), "node", "rep", BLOCK)
-        join.confirm(blocks.mapInArrow(_small_pairs(percent), "a long, b long"))
-        large = rest.where(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        large = stored(frontier.groupBy("node").count().where(F.col("count") > SMALL).select("node"))
+        n_large = large.count()
+        crowded = F.broadcast(large) if n_large <= BROADCAST_NODES else large
+        small = frontier.join(crowded, "node", "left_anti") if n_large else frontier
+        members = stored(frontier.join(crowded, "node")) if n_large else None
+        unfinished = small
+        for at, width in enumerate(WIDTHS):
+            found = join.compare(_side_by_side(join.labelled(unfinished)), width)
+            pairs = found.where("a IS NOT NULL").select("a", "b")
+            if n_large and not at:
+                pairs = pairs.unionByName(_pivot_pairs(members, percent))
+            join.confirm(pairs)
+            nodes = stored(found.where("a IS NULL").select("node").distinct())
+            n_nodes = nodes.count()
+            if not n_nodes:
+                break
+            known = F.broadcast(nodes) if n_nodes <= BROADCAST_NODES else nodes
+            unfinished = (unfinished if at >= FINE_AFTER else small).join(known, "node", "left_semi")
+            if at + 1 == FINE_AFTER:
+                unfinished = stored(join.finer(unfinished))
+        if not n_large:
             break
-        deeper = large.select("node", "rep", "n").join(reps.select(F.col("rep").alias("of"), "signature"), F.col("rep") == F.col("of"))
-        frontier = deeper.select("node", "rep", "n", "signature").mapInArrow(_expand(STEP, again, percent), _MEMBERS)
-    # An id with several texts ties their classes together.
-    by_print = classes.select(F.col("print_a").alias("of_a"), F.col("print_b").alias("of_b"), "rep")
-    same = (F.col("print_a") == F.col("of_a")) & (F.col("print_b") == F.col("of_b"))
-    several = usable.groupBy("id").agg(F.min("print_a").alias("low"), F.max("print_a").alias("high")).where("low < high")
-    ties = usable.join(several.select("id"), "id").join(by_print, same).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = join.links()
-    ties = ties if links is None else ties.unionByName(links)
-    final = connected_components(ties)
-    with_class = rows.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print_a")).alias("print_a"), "print_b").join(by_print, same, "left")
-    return with_class.join(final, F.col("rep") == F.col("node"), "left").select(
+        members = join.labelled(members)
+        nodes = members.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        nodes = stored(nodes.where("low < high").select("node"))
+        if nodes.isEmpty():
+            break
+        members = members.join(F.broadcast(nodes) if n_large <= BROADCAST_NODES else nodes, "node", "left_semi")
+        if last:
+            join.confirm(join.compare(in_blocks(members, "node", "rep", SMALL), None))
+        else:
+            deeper = members.drop("label").join(reps.select("rep", "signature"), "rep")
+            frontier = deeper.select("node", "rep", "n", "signature", "sketch").mapInArrow(_expand(STEP, again, percent), _MEMBERS)
+    first = usable.join(several, "id").select("id", "key").distinct().join(classes.select("key", "rep"), "key")
+    low = first.groupBy("id").agg(F.min("rep").alias("b"))
+    ties = first.join(low, "id").select(F.col("rep").alias("a"), "b")
+    links = reduce(DataFrame.unionByName, [ties, *join.links])
+    found = classes.join(connected_components(links), F.col("rep") == F.col("node"), "left").select(
+        "key", "least", F.coalesce("component", "rep").alias("group")
+    )
+    smallest = found.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_class = found.join(smallest, "group").select("key", "component_id")
+    placed = join_unique(of_class, usable, "key", "inner").select("id", "n", "component_id")
+    alone = rows.where(~F.coalesce(has_set, F.lit(False))).select("id", "n", F.col("id").alias("component_id"))
+    return placed.unionByName(alone).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "rep", "id"), F.lit(True)).alias("kept"),
+        "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
+
+
+def _pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of large nodes and a few classes of these; the order by hash is the same in
+    all nodes, so nodes share their pivots."""
+    nodes = members.groupBy("node").agg(*[
+        F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("order"), "rep", "n", "sketch")).alias(f"p{k}")
+        for k in range(PIVOTS)
+    ])
+    pivots = nodes.select("node", F.explode(F.array_distinct(F.array(*[
+        F.struct(*[F.col(f"p{k}.{c}").alias(c) for c in ("rep", "n", "sketch")]) for k in range(PIVOTS)
+    ]))).alias("p"))
+    pivots = stored(pivots.select(
+        "node", F.col("p.rep").alias("first"), F.col("p.n").alias("first_n"), F.col("p.sketch").alias("first_sketch")
+    ))
+    known = F.broadcast(pivots) if pivots.count() <= PIVOTS * BROADCAST_NODES else pivots
+    tried = members.join(known, "node").where("rep != first").drop("node")
+    return tried.mapInArrow(_with_pivots(percent), "a long, b long")

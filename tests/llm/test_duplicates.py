@@ -119,6 +119,62 @@ def test_pairs_at_the_threshold_stay_together_to_the_last_level():
     assert neardup.recall(80, neardup.TREES, 1, neardup.ROUNDS) < 0.94
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types(spark, kind):
+    rng = random.Random(2)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(12)]
+    rows = [(i, noisy(rng, bases[i % 12], rng.choice([0, 1, 9]))) for i in range(60)] + [(3, None), (None, "x y z")]
+    docs = documents(spark, rows)
+    found = neardup.near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast(kind)), words=2).collect()
+    together = {}
+    for r in found:
+        if r.n_shingles and r.doc_id is not None:
+            together.setdefault(r.component_id, set()).add(int(r.doc_id))
+    wanted = {}
+    for i, low in plain_groups(rows, 2).items():
+        wanted.setdefault(low, set()).add(i)
+    assert sorted(map(sorted, together.values())) == sorted(map(sorted, wanted.values()))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
+
+
+def node_of(rng, groups, alone, changes):
+    """Sketches of groups of near copies and of members alike to nobody, with the true links."""
+    values = []
+    for size in groups:
+        base = rng.integers(0, 1 << 32, neardup.SKETCHED)
+        for _ in range(size):
+            values.append(np.where(rng.random(neardup.SKETCHED) < changes, rng.integers(0, 1 << 32, neardup.SKETCHED), base))
+    values += list(rng.integers(0, 1 << 32, (alone, neardup.SKETCHED)))
+    values = np.array(values, np.uint32)[rng.permutation(len(values))]
+    bits = [np.packbits((values & np.uint32(bit)).astype(bool), axis=1) for bit in (1, 2)]
+    return values, [v.tobytes() for v in np.concatenate(bits, axis=1)]
+
+
+def test_candidates_of_a_node_hold_its_links_pass_by_pass():
+    rng = np.random.default_rng(3)
+    values, sketch = node_of(rng, [150, 75, 2, 2], 75, 0.02)
+    sketches = neardup._Sketches(np.full(len(values), 100), sketch, 80)
+    m = len(values)
+    full = {(i, j) for i in range(m) for j in range(i) if (values[i] == values[j]).mean() > 0.8}
+    label, held, given = np.arange(m), set(), []
+    for width in neardup.WIDTHS:
+        found, more = [], False
+        for i, j, left in neardup.candidates(sketches, label, None, width):
+            found += zip(i.tolist(), j.tolist())
+            more = more or left
+        assert len(found) == len(set(found)) <= m * width and all(j < i and label[i] != label[j] for i, j in found)
+        given.append(len(found))
+        held |= full & set(found)
+        together = components(held, range(m))
+        label = np.array([together[i] for i in range(m)])
+        if not more:
+            break
+    assert components(held, range(m)) == components(full, range(m))
+    assert not more and sum(given) < 3 * m
+    every = [pair for i, j, _ in neardup.candidates(sketches, np.arange(m)) for pair in zip(i.tolist(), j.tolist())]
+    assert full <= set(every) and len(every) == len(set(every))
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(documents(spark, [])).collect() == []
 

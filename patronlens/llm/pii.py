@@ -3,11 +3,11 @@
 All of it is DataFrame work. Generators are regular expressions with high recall: the four base
 forms (email, ip, card, phone), and wider ones for disguised emails, IPv6 addresses written out in
 eight groups (shortened ones with :: are not proposed), numbers without a plus sign and cards with other separators; their spans may overlap. Each span gets
-format and context features. Gradient boosted trees learn on a bounded sample of the proposed
+format and context features. Gradient boosted trees learn on all proposed
 spans, where the checks of the base form (range, checksum, digit count) or of IPv6, applied to the
-plain form of the span, give the label, and damaged copies give further negatives; some spans with serial numbers
-are in every sample. A threshold for
-each kind is calibrated on the part of the sample that the trees have not seen. Spans that
+plain form of the span, give the label, and damaged copies give further negatives. Forms that the corpus shows fewer than SEEDS
+different valid spans of are taught by spans with serial numbers as well. A threshold for
+each kind is calibrated on the part of the spans that the trees have not seen. Spans that
 pass a base check always stay; others are added if their score reaches the threshold and they
 overlap no base span and no added span before them.
 
@@ -20,6 +20,7 @@ columns play no part. No rows give no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -65,8 +66,8 @@ GENERATORS = (
               r"(?<![0-9+(.-])(?:00?[0-9]{0,3}[ .-])?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 )
 CONTEXT = 24  # characters before and after a span that features look at
-#: Spans that the trees learn from, at most; chosen by hash over all proposed spans.
-TRAIN_SPANS = 4_000
+#: Spans with serial numbers for each form that the corpus itself shows fewer different valid ones of.
+SEEDS = 120
 TREES, DEPTH = 8, 3
 #: Added spans should be right at least this often on the calibration part.
 PRECISION = 0.98
@@ -204,7 +205,7 @@ def _kind_of() -> tuple[Column, Column]:
 
 
 def _seeds(spark: SparkSession) -> DataFrame:
-    """Spans of each kind with serial numbers, so that a small corpus can teach all kinds too."""
+    """Spans of each kind with serial numbers, so that a corpus without them can teach all kinds too."""
     texts = [
         ("email", True, "concat('user', id, '@mail', id % 7, '.example.com')"),
         ("email", False, "concat('user', id, ' [at] mail', id % 7, ' [dot] com')"),
@@ -219,17 +220,25 @@ def _seeds(spark: SparkSession) -> DataFrame:
         F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.expr(text).alias("match"))
         for kind, base, text in texts
     ]))
-    return spark.range(120).select(kinds.alias("s")).select("s.*", F.lit(" ").alias("before"), F.lit(" ").alias("after"))
+    return spark.range(SEEDS).select(kinds.alias("s")).select("s.*", F.lit(" ").alias("before"), F.lit(" ").alias("after"))
 
 
-def train(spans: DataFrame, rows: int = TRAIN_SPANS) -> tuple[GBTClassificationModel, dict[str, float]] | None:
+def _valid(kind: Column, match: Column) -> Column:
+    return F.coalesce(label_check(kind, plain_form(kind, match)), F.lit(False))
+
+
+def _with_seeds(spans: DataFrame) -> DataFrame:
+    """The spans, and seeds of the forms that they show too few valid ones of."""
+    own = spans.select("kind", "base", "match", "before", "after")
+    shown = own.where(_valid(F.col("kind"), F.col("match"))).groupBy("kind", "base").agg(F.count_distinct("match").alias("n"))
+    shown = F.broadcast(shown.where(F.col("n") >= SEEDS).select("kind", "base"))
+    seeds = _seeds(spans.sparkSession).join(shown, ["kind", "base"], "left_anti")
+    return own.unionByName(seeds.select(own.columns))
+
+
+def train(spans: DataFrame) -> tuple[GBTClassificationModel, dict[str, float]] | None:
     """The trees and the threshold of each kind, or None if there is nothing to learn from."""
-    sample = (
-        spans.select("kind", "base", "match", "before", "after")
-        .orderBy(F.xxhash64("match", "before", "after"), "match", "before", "after", "kind", "base")
-        .limit(rows)
-        .unionByName(_seeds(spans.sparkSession))
-    )
+    sample = _with_seeds(spans)
     match = F.col("match")
     damaged = [
         F.concat(F.lit("9"), match),
@@ -237,19 +246,18 @@ def train(spans: DataFrame, rows: int = TRAIN_SPANS) -> tuple[GBTClassificationM
         F.expr("substring(match, 1, length(match) - 3)"),
         F.regexp_replace(match, "[.]([A-Za-z0-9-]+)$", ".$1.$1.$1.999"),
     ]
-    every = sample
-    for other in damaged:
-        every = every.unionByName(sample.withColumn("match", other))
-    every = every.where(F.length("match") > 0).withColumn(
-        "label", F.coalesce(label_check(F.col("kind"), plain_form(F.col("kind"), match)), F.lit(False)).cast("double")
-    )
+    every = sample.withColumn("match", F.explode(F.array(match, *damaged)))
+    every = every.where(F.length("match") > 0).withColumn("label", _valid(F.col("kind"), match).cast("double"))
     part = F.pmod(F.xxhash64("match"), F.lit(4))
     every = stored(_features(every.withColumn("part", part)).select("kind", "base", "label", "part", "features"))
     classes = {r["label"]: r["n"] for r in every.where("part > 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         return None
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", cacheNodeIds=False)
-    model = trees.fit(every.where("part > 0").coalesce(4))
+    # Spark finds splits on a sample if there are more than 10,000 rows and more than the square of the bins.
+    rows = sum(classes.values())
+    bins = 32 if rows <= 10_000 else 1 + isqrt(rows)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", maxBins=bins, cacheNodeIds=False)
+    model = trees.fit(every.where("part > 0").coalesce(max(4, rows // 20_000)))
     scored = model.transform(every.where("part = 0")).select(
         "kind", "label", F.floor(vector_to_array("probability")[1] * 100).alias("score")
     )

@@ -138,6 +138,25 @@ def test_long_addresses_are_selected_beside_the_base_forms(spark):
     assert [found[i].n_ip for i in (1, 2, 3)] == [0, 1, 0]  # base forms alone
 
 
+def test_spans_are_all_learned_from(spark, monkeypatch):
+    """The trees get every span of a corpus with many; seeds only stand for forms that it lacks."""
+    stored, rows = pii.stored, []
+
+    def kept(df):
+        rows.append(stored(df))
+        return rows[-1]
+
+    monkeypatch.setattr(pii, "stored", kept)
+    spans = spark.range(9_000).selectExpr(
+        "'ip' AS kind", "true AS base", "concat_ws('.', 1 + id % 200, id % 256, id div 256, 7) AS match",
+        "concat('host ', id) AS before", "' is up' AS after",
+    )
+    model, thresholds = pii.train(spans)
+    counts = {(r.kind, r.base): r["count"] for r in rows[-1].groupBy("kind", "base").count().collect()}
+    assert counts["ip", True] == 5 * 9_000 and counts["ip", False] == 5 * pii.SEEDS and len(counts) == 8
+    assert set(thresholds) >= {"ip", "email"}
+
+
 def test_redacted_texts(spark):
     rows = [*enumerate(PERSONAL), (7, None), (8, ""), (None, PERSONAL[1])]
     docs = documents(spark, rows, "pii_spans pii_id")

@@ -10,8 +10,10 @@ Texts with equal sets are one class from the start. In every round
      values), in passes: a class gives the pair with the one most alike to it in its node, then those with the
      4 most alike, then all that are left. After each pass the pairs are confirmed on the full sets, and
      classes of one label are not paired again, so a group of near copies is joined by
-     about as many pairs as it has members. What is left then are pairs that are nearly similar enough,
-     which sketches of 2,048 values tell apart;
+     about as many pairs as it has members. After the first pass a pair is given by one of the nodes it shares.
+     What is left then are pairs that are nearly similar enough, as many as the square of a group's size: these
+     are told apart where they lie, by sketches of 2,048 values and then by their whole sets, and a node
+     gives no more than the links that tie its classes together;
   2. larger nodes, of which there are few, are compared with a few classes of their own, which joins
      large groups of near copies by a number of pairs that is linear in them;
   3. what is not one group then branches further, each node with several independent trees of its own, as
@@ -64,8 +66,12 @@ WIDTHS = (1, 4, SMALL)
 CHUNK = 256
 POSITIONS = 64
 SKETCHED, FINE = 256, 2048
-#: Passes over a node after which its members get the finer sketches.
+#: Passes over a node after which its members get the finer sketches, and their sets.
 FINE_AFTER = 2
+#: Shingles of a set that its class takes along, at most; pairs with a larger one are confirmed elsewhere.
+TAKEN = 1024
+#: Nodes of a class by which it is known where else a pair meets; pairs that share none of them are repeated.
+KNOWN_NODES = 32
 SEED = 97
 #: Ids of candidates, and large nodes, are broadcast up to this number; beyond it rows are shuffled to them.
 BROADCAST_IDS = 2_000_000
@@ -265,11 +271,64 @@ def candidates(
         yield i[near], j[near], not near.all()
 
 
+def meets_first(nodes: list[list[int]], node: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs (i, j) of a node's members share no smaller node; `nodes` are those known of each."""
+    smaller = [[x for x in own if x < node] for own in nodes]
+    longest = max(map(len, smaller), default=0)
+    table = np.full((longest, len(nodes)), node, np.int64)  # of one member at least, a place without a node
+    for at, own in enumerate(smaller):
+        table[: len(own), at] = own
+    first = np.ones(len(i), bool)
+    for start in range(0, len(i), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        of_i, of_j = table[:, i[part]], table[:, j[part]]
+        for x in of_i:
+            real = x != node
+            for y in of_j:
+                first[part] &= (x != y) | ~real
+    return first
+
+
+def links_between(
+    sets: list[np.ndarray | None], label: np.ndarray, percent: int, i: np.ndarray, j: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those that tie two labels together, and those with a set that is not at hand.
+
+    Pairs are compared on their sets. Tied labels become one in `label`, so that further pairs of theirs
+    are not compared.
+    """
+    known = np.array([s is not None for s in sets])
+    here = known[i] & known[j]
+    kept = [(i[~here], j[~here])]
+    i, j = i[here], j[here]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+    for first, end in zip(starts, [*starts[1:], len(i)]):
+        one = i[first]
+        own = sets[one]
+        for begin in range(first, end, CHUNK):
+            others = j[begin : min(begin + CHUNK, end)]
+            others = others[label[others] != label[one]]
+            if not len(others):
+                continue
+            values = np.concatenate([sets[k] for k in others])
+            sizes = np.array([len(sets[k]) for k in others])
+            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            common = np.add.reduceat(own[at] == values, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+            for k in others[100 * common >= percent * (len(own) + sizes - common)]:
+                if label[k] != label[one]:
+                    label[label == label[k]] = label[one]
+                    kept.append((np.array([one]), np.array([k])))
+    return np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept])
+
+
 def _pairs(percent: int, width: int | None):
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates (a, b, node) of members (node, rep, n, sketch, label, own, block_a, block_b).
 
-        A row without a and b names a node that has more.
+        A row without a and b names a node that has more. If members have `nodes`, a pair is given only
+        where it meets first; if they have `shingles`, only links between labels are given.
         """
         for table, groups in runs(batches, ["node", "block_a", "block_b"]):
             for first, end in groups:
@@ -284,9 +343,18 @@ def _pairs(percent: int, width: int | None):
                 rows, rep, label = rows.take(pa.array(order)), rep[order], label[order]
                 several = rows["block_a"][0] != rows["block_b"][0]
                 sketches = _Sketches(rows["n"].to_numpy(), rows["sketch"].to_pylist(), percent)
+                nodes = rows["nodes"].to_pylist() if "nodes" in rows.column_names else None
+                sets = None
+                if "shingles" in rows.column_names:
+                    sets = [None if x is None else np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
                 more = False
                 for i, j, left in candidates(sketches, label, rows["own"].to_numpy() if several else None, width):
                     more = more or left
+                    if nodes is not None:
+                        first_here = meets_first(nodes, node, i, j)
+                        i, j = i[first_here], j[first_here]
+                    if sets is not None:
+                        i, j = links_between(sets, label, percent, i, j)
                     if len(i):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])),
@@ -331,10 +399,10 @@ class _Join:
         pairs = stored(pairs.select("a", "b").distinct())
         ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
 
-        def lists(sets: list[np.ndarray]) -> pa.Array:
+        def lists(sets: list[np.ndarray]) -> list[pa.Array]:
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate([s.view(np.int64) for s in sets] or [np.empty(0, np.int64)])
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
 
         sets = self._of_classes(ends, lists, "shingles array<long>")
         if sets is None:
@@ -347,8 +415,8 @@ class _Join:
         )
         self.links.append(stored(held.select("a", "b")))
 
-    def _of_classes(self, ends: DataFrame, make, column: str) -> DataFrame | None:
-        """(of, column) for the classes in `ends`, made from the sets of their texts; None for no classes."""
+    def _of_classes(self, ends: DataFrame, make, columns: str) -> DataFrame | None:
+        """(of, columns) for the classes in `ends`, made from the sets of their texts; None for no classes."""
         known = self.classes.select("least", F.col("rep").alias("a"), "key")
         wanted = stored(known.join(ends, "a").select("least", F.col("a").alias("of"), "key"))
         count = wanted.count()
@@ -356,7 +424,7 @@ class _Join:
             return None
         wanted = F.broadcast(wanted) if count <= BROADCAST_IDS else wanted
         texts = self.texts.join(wanted, F.col("id") == F.col("least")).select("of", "key", "text")
-        words, name = self.words, column.split()[0]
+        words, names = self.words, [c.split()[0] for c in columns.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -365,20 +433,25 @@ class _Join:
                     # An id may have several texts; a class is asked for that of its own set.
                     own = [at for at, s in enumerate(sets) if _key(s) == batch.column("key")[at].as_py()]
                     of = batch.column("of").take(pa.array(own, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([of, make([sets[at] for at in own])], names=["of", name])
+                    yield pa.RecordBatch.from_arrays([of, *make([sets[at] for at in own])], names=["of", *names])
 
-        made = texts.mapInArrow(run, f"of long, {column}")
+        made = texts.mapInArrow(run, f"of long, {columns}")
         # Repeated rows of an id give its set once.
-        return stored(made.groupBy("of").agg(F.any_value(name).alias(name)))
+        return stored(made.groupBy("of").agg(*[F.any_value(name).alias(name) for name in names]))
 
     def finer(self, members: DataFrame) -> DataFrame:
-        """members with sketches of more positions, which tell apart what is nearly similar enough."""
+        """members with sketches of more positions and the sets that are not too large, which tell apart
+        what is nearly similar enough."""
         minhash = MinHash(FINE, SEED)
-        made = self._of_classes(
-            members.select(F.col("rep").alias("a")).distinct(), lambda sets: pa.array(_sketch(minhash(sets)), pa.binary()), "fine binary"
-        )
+
+        def made_of(sets: list[np.ndarray]) -> list[pa.Array]:
+            taken = [s.tobytes() if len(s) <= TAKEN else None for s in sets]
+            return [pa.array(_sketch(minhash(sets)), pa.binary()), pa.array(taken, pa.binary())]
+
+        made = self._of_classes(members.select(F.col("rep").alias("a")).distinct(), made_of, "fine binary, shingles binary")
+        kept = [c for c in members.columns if c != "sketch"]
         joined = members.join(made.withColumnRenamed("of", "rep"), "rep")
-        return joined.select("node", "rep", "n", F.col("fine").alias("sketch"))
+        return joined.select(*kept, F.col("fine").alias("sketch"), "shingles")
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """members with a label that linked ones share, the least class that a few rounds of taking over the
@@ -402,6 +475,12 @@ class _Join:
         return stored(members.mapInArrow(_pairs(self.percent, width), _FOUND))
 
 
+def _with_nodes(members: DataFrame) -> DataFrame:
+    """members with the first of their nodes, in order."""
+    nodes = F.slice(F.array_sort(F.collect_list("node")), 1, KNOWN_NODES).alias("nodes")
+    return members.join(members.groupBy("rep").agg(nodes), "rep")
+
+
 def _side_by_side(members: DataFrame) -> DataFrame:
     """Each node as one block."""
     one = members.withColumns({c: F.lit(0) for c in ("own", "block_a", "block_b")})
@@ -456,9 +535,10 @@ def near_duplicates(
             if not n_nodes:
                 break
             known = F.broadcast(nodes) if n_nodes <= BROADCAST_NODES else nodes
-            unfinished = (unfinished if at >= FINE_AFTER else small).join(known, "node", "left_semi")
+            unfinished = _with_nodes(stored(unfinished.drop("nodes").join(known, "node", "left_semi")))
             if at + 1 == FINE_AFTER:
-                unfinished = stored(join.finer(unfinished))
+                unfinished = join.finer(unfinished)
+            unfinished = stored(unfinished)
         if not n_large:
             break
         members = join.labelled(members)
@@ -468,7 +548,7 @@ def near_duplicates(
             break
         members = members.join(F.broadcast(nodes) if n_large <= BROADCAST_NODES else nodes, "node", "left_semi")
         if last:
-            join.confirm(join.compare(in_blocks(members, "node", "rep", SMALL), None))
+            join.confirm(join.compare(in_blocks(join.finer(members), "node", "rep", SMALL), None))
         else:
             deeper = members.drop("label").join(reps.select("rep", "signature"), "rep")
             frontier = deeper.select("node", "rep", "n", "signature", "sketch").mapInArrow(_expand(STEP, again, percent), _MEMBERS)

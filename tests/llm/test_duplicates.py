@@ -175,6 +175,65 @@ def test_candidates_of_a_node_hold_its_links_pass_by_pass():
     assert full <= set(every) and len(every) == len(set(every))
 
 
+def test_a_group_just_below_the_threshold_gives_no_square_of_candidates(spark, monkeypatch):
+    """Every two texts are alike at 0.786, in all the nodes they share."""
+    made = {}
+    compare = neardup._Join.compare
+
+    def counted(self, members, width):
+        found = compare(self, members, width)
+        made[width] = [(r.a, r.b) for r in found.where("a IS NOT NULL").collect()]
+        return found
+
+    monkeypatch.setattr(neardup._Join, "compare", counted)
+    shared = [f"s{k}" for k in range(89)]
+    rows = [(i, " ".join(shared + [f"o{i}x{k}" for k in range(12)])) for i in range(60)]
+    rows += [(100 + i, " ".join([f"p{k}" for k in range(60)] + [f"q{i}"])) for i in range(3)]
+    found = neardup.near_duplicates(documents(spark, rows), words=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_groups(rows, 2)
+    one, few, rest = (made.get(width, []) for width in neardup.WIDTHS)
+    assert len(few) == len(set(few)) and not rest
+    assert len(set(one) | set(few)) < 60 * 59 // 2
+
+
+def test_pairs_meet_first_in_one_of_their_nodes():
+    rng = np.random.default_rng(8)
+    member_of = [sorted(rng.choice(40, 9, replace=False).tolist()) for _ in range(30)]
+    known = [own[:5] for own in member_of]
+    given = {}
+    for node in range(40):
+        here = [i for i in range(30) if node in member_of[i]]
+        i, j = np.tril_indices(len(here), -1)
+        ok = neardup.meets_first([known[h] for h in here], node, i, j)
+        for x, y in zip(i[ok], j[ok]):
+            given.setdefault((here[x], here[y]), []).append(node)
+    for x in range(30):
+        for y in range(x):
+            both = set(member_of[x]) & set(member_of[y])
+            first = set(known[x]) & set(known[y])
+            wanted = [min(first)] if first and min(first) == min(both) else None
+            assert ((x, y) in given) == bool(both)
+            assert wanted is None or given[x, y] == wanted
+
+
+def test_links_between_labels_hold_all_groups_with_few_pairs():
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 62, 50).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.r_[base[k % 4][: 50 - k % 3], rng.integers(0, 1 << 62, 1 + k % 5).astype(np.uint64)]) for k in range(40)]
+    i, j = (np.array(x) for x in zip(*[(x, y) for x in range(40) for y in range(x)]))
+    links = [
+        (x, y) for x, y in zip(i.tolist(), j.tolist())
+        if 100 * len(np.intersect1d(sets[x], sets[y])) >= 80 * len(np.union1d(sets[x], sets[y]))
+    ]
+    a, b = neardup.links_between(sets, np.arange(40), 80, i, j)
+    few = list(zip(a.tolist(), b.tolist()))
+    assert set(few) <= set(links) and len(few) < 40 < len(links)
+    assert components(few, range(40)) == components(links, range(40))
+    some = [None if k == 7 else s for k, s in enumerate(sets)]
+    a, b = neardup.links_between(some, np.arange(40), 80, i, j)
+    assert sum(7 in pair for pair in zip(a.tolist(), b.tolist())) == 39  # left to the confirmation
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(documents(spark, [])).collect() == []
 
